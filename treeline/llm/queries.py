@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import quality_rules
 from .bpe_codec import encode_decode
 from .line_dedup import line_dedup
+from .minhash import near_duplicates
 from .token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +32,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=85)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base, policy = quality_rules.BASE, quality_rules.DEFAULT
@@ -40,4 +45,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_line_dedup, op4_bpe_codec, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_line_dedup, op4_bpe_codec, op7_minhash_near_dedup, op9_quality_rules)}
