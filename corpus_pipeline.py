@@ -1,6 +1,71 @@
-STAGES = []
+"""A corpus pipeline of five stages, each written as Parquet and read again.
+
+Each stage takes what the one before has kept; all but the last return the
+columns of ``documents``.  ``ORACLE_SQL`` is None, as SQL cannot encode by merges;
+the tests hold ``run`` against a brute-force version.
+
+Rows with a null id pass the stages that compare documents.  Null and empty texts
+are rejected by the quality rules.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeline.llm import decontaminate as decon
+from treeline.llm import quality_rules as rules
+from treeline.llm.bpe_codec import encode_decode
+from treeline.llm.common import materialize
+from treeline.llm.line_dedup import line_dedup
+from treeline.llm.minhash import near_duplicates
+from treeline.llm.queries import VOCABULARY, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the default policy keeps."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return rules.ledger(rows, id_col="doc").filter(~rules.failed(rules.DEFAULT)).select("doc.*")
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that other documents keep; ``n_chars`` follows."""
+    out = line_dedup(docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c in new or c != "text"])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the smallest id."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.filter(decon.contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded)"""
+    out = encode_decode(docs, VOCABULARY)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", repeated_lines),
+    ("minhash_near_dedup", near_copies),
+    ("benchmark_decontamination", benchmark),
+    ("bpe_encoding", encoding),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as decon
 from . import quality_rules
 from .bpe_codec import encode_decode
 from .line_dedup import line_dedup
@@ -19,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decon.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), decon.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY, limit=512)
 
@@ -45,4 +52,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_line_dedup, op4_bpe_codec, op7_minhash_near_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_line_dedup, op4_bpe_codec, op7_minhash_near_dedup, op9_quality_rules)}
