@@ -51,4 +51,40 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-SQL = {"op1_decontaminate": OP1, "op3_line_dedup": OP3, "op9_quality_rules": OP9}
+#: kind, expression, group, least length: the fixed values of the secret scan, for RE2.
+SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("cloud", r"AIza[0-9A-Za-z_-]{35}", 0, 0),
+    ("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@", 0, 0),
+)
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for i, (kind, pattern, group, least) in enumerate(SECRETS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, {i} AS k, '{kind}' AS kind, unnest(f) AS m, unnest(v) AS v, unnest(range(1, len(f) + 1)) AS j, f, g "
+            f"FROM (SELECT doc_id, regexp_extract_all(t, {p}, 0) AS f, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g FROM d)"
+        )
+    lengths = " ".join(f"WHEN {i} THEN {x[3]}" for i, x in enumerate(SECRETS))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT doc_id, k, kind, v, length(m) AS n, length(array_to_string(g[1:j], '')) + length(array_to_string(f[1:j-1], '')) AS a FROM r),
+x AS (SELECT doc_id, k, a, kind || ':' || a || ':' || (a + n) AS w FROM s WHERE length(v) >= CASE k {lengths} END),
+y AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+  string_agg(w, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(w, ',' ORDER BY a, k) AS spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN y USING (doc_id)
+"""
+
+
+SQL = {"op5_secret_scan": _secrets_sql(), "op1_decontaminate": OP1, "op3_line_dedup": OP3, "op9_quality_rules": OP9}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import quality_rules
+from . import quality_rules, secret_scan
 from .bpe_codec import encode_decode
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
@@ -39,6 +39,14 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    of_kind = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=85)
 
@@ -52,4 +60,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_line_dedup, op4_bpe_codec, op7_minhash_near_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_line_dedup, op4_bpe_codec, op5_secret_scan, op7_minhash_near_dedup, op9_quality_rules)}
