@@ -12,7 +12,10 @@ confirmed on the full sets.
 Buckets are never expanded into all pairs.  Each row of a bucket is first paired
 with the bucket's least and greatest representative; components are formed of
 the confirmed links.  What is left are pairs of one bucket that lie in different
-components, and those are tested too, so no link between components is lost.
+components.  Each set has a parity bitmap, in which every shingle flips one bit;
+two bitmaps differ in at most as many bits as the sets differ in shingles, which
+rules out nearly all that are no links before a row is made of them.  The rest
+are tested too, so no link between components is lost.
 
 With 55 symbols in 11 chunks of 5 and one error, pairs that differ in at most 21
 symbols are found.  At a similarity of 0.85 the chance of more is about 1e-6, and
@@ -28,7 +31,9 @@ gives an empty table.  Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,8 @@ CHUNKS, WIDTH, ERRORS, BITS = 11, 5, 1, 16
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures may differ in so many symbols.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Longs of a parity bitmap.
+PARITY = 16
 #: Ids of documents whose sets are needed are broadcast up to so many rows of 8 bytes.
 BROADCAST_ROWS = 1_000_000
 
@@ -148,6 +155,23 @@ def _sets(size: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap in which each shingle has flipped one bit."""
+    flips = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def _parities(size: int):
+    def run(batches):
+        memo = word_memo()
+        for b in batches:
+            sets = [shingle_set(t, size, memo) for t in b.column(1).to_pylist()]
+            bits = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, PARITY), np.int64)
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["id", "n", *(f"b{i}" for i in range(PARITY))])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
@@ -169,12 +193,16 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of these distinct ids."""
+    return docs.join(F.broadcast(ids) if is_under(ids, BROADCAST_ROWS) else ids, "id", "left_semi")
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs that are links: first by signature, then by the full sets."""
     near = materialize(_with_both(pairs, reps, "sig").mapInArrow(_near, "a long, b long"), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = is_under(ids, BROADCAST_ROWS)
-    sets = materialize(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(size), "id long, set binary"), "sets")
+    sets = materialize(_only(docs, ids).mapInArrow(_sets(size), "id long, set binary"), "sets")
     links = materialize(_with_both(near, sets, "set").mapInArrow(_confirm(percent), "a long, b long"), "links")
     drop(near, sets)
     return links
@@ -202,13 +230,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "lo", root.alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("id") == F.col("lo"), F.col("root"))).alias("main")).filter("least < most")
     placed = materialize(placed.join(mixed.select("key", "main"), "key"), "open-buckets")
-    others = placed.filter("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("of_x"))
-    left = placed.select("key", F.col("id").alias("y"), F.col("root").alias("of_y")).join(others, "key").filter("of_x <> of_y")
-    left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    bits = [f"b{i}" for i in range(PARITY)]
+    schema = "id long, n long, " + ", ".join(f"{c} long" for c in bits)
+    maps = materialize(_only(docs, placed.select("id").distinct()).mapInArrow(_parities(size), schema), "parities")
+    placed = placed.join(maps, "id")
+    others = placed.filter("root <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", *bits)])
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in bits])
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("o_n"))
+    left = placed.withColumnRenamed("key", "k2").join(others, (F.col("k2") == F.col("key")) & (F.col("root") != F.col("o_root")) & near)
+    left = left.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = _links(materialize(left, "open-pairs"), reps, docs, size, percent)
     if not more.isEmpty():
         roots = components(links.union(more))
-    drop(members, placed, pairs)
+    drop(members, pairs, maps)
 
     classes = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", root.alias("root"))
     out = rows.drop("sig").join(classes, ["d1", "d2"], "left")
