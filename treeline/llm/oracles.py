@@ -87,4 +87,27 @@ FROM d LEFT JOIN y USING (doc_id)
 """
 
 
-SQL = {"op5_secret_scan": _secrets_sql(), "op1_decontaminate": OP1, "op3_line_dedup": OP3, "op9_quality_rules": OP9}
+OP6 = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM c),
+f AS (SELECT *, length(regexp_replace(r, '(\\|</?s>|\[/?INST\])', '\\\1', 'g')) + length(regexp_replace(t, '(\\|</?s>|\[/?INST\])', '\\\1', 'g')) AS n FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(n + length('<s>[INST][/INST]</s>'))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS o FROM p),
+x AS (SELECT *, [('0x' || s[5*k+1:5*k+5])::BIGINT for k in range(8)] AS q FROM b)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o THEN o END AS refers_to
+FROM x
+"""
+
+
+SQL = {"op6_chat_format": OP6, "op8_warc": OP8, "op5_secret_scan": _secrets_sql(), "op1_decontaminate": OP1, "op3_line_dedup": OP3, "op9_quality_rules": OP9}

@@ -45,9 +45,12 @@ def _noise(key: str, kind: str, round_: int, value: Column, size: int) -> Column
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % size
 
 
+def _div(x: Column, y: int) -> Column:
+    return F.call_function("div", x, F.lit(y).cast("long"))
+
+
 def feistel(x: Column, a: int, b: int, key: str, kind: str) -> Column:
     """A keyed permutation of the numbers below a * b: the two digits of x in base b are shifted by turns."""
-    state = F.struct((x.cast("long") - x.cast("long") % b).alias("p"), (x.cast("long") % b).alias("q"))
 
     def go(s: Column, r: int) -> Column:
         if r == ROUNDS:
@@ -58,7 +61,7 @@ def feistel(x: Column, a: int, b: int, key: str, kind: str) -> Column:
             new = F.struct(((s["p"] + _noise(key, kind, r, s["q"], a)) % a).alias("p"), s["q"].alias("q"))
         return let(new, lambda t: go(t, r + 1))
 
-    return let(state, lambda s: go(F.struct(F.floor(s["p"] / b).cast("long").alias("p"), s["q"].alias("q")), 0))
+    return let(x.cast("long"), lambda v: let(F.struct(_div(v, b).alias("p"), (v % b).alias("q")), lambda s: go(s, 0)))
 
 
 def _digits(m: Column) -> Column:
@@ -69,10 +72,10 @@ def _pad(n: Column, width: int) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
-def _relayout(m: Column, digits: Column) -> Column:
-    """The digits of m are replaced by the given ones, one by one; everything else stays."""
+def _relayout(m: Column, digits: Column, which: str = "[0-9]") -> Column:
+    """The characters of m in ``which`` are replaced by the given ones, one by one; everything else stays."""
     chars = F.split(m, "")
-    step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substr(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
+    step = lambda s, c: F.when(c.rlike(which), F.struct(F.concat(s["out"], F.substr(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
     return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: s["out"])
 
 
@@ -90,7 +93,7 @@ def card(m: Column, key: str) -> Column:
             a, b = 10 ** (inner // 2), 10 ** (inner - inner // 2)
             new = _pad(feistel(_sub(d, 2, inner).cast("long"), a, b, key, f"card{n}"), inner)
             body = lambda s: F.concat(_sub(d, 1, 1), s)
-            checked = lambda s: let(body(s), lambda t: F.concat(t, F.get(F.filter(F.array(*[F.lit(str(c)) for c in range(10)]), lambda c: F.luhn_check(F.concat(t, c))), F.lit(0))))
+            checked = lambda s: let(body(s), lambda t: F.concat(t, F.get(F.filter(F.array(*[F.lit(str(c)) for c in range(10)]), lambda c: F.call_function("luhn_check", F.concat(t, c))), F.lit(0))))
             return let(new, checked)
 
         out = F.lit(None).cast("string")
@@ -98,7 +101,7 @@ def card(m: Column, key: str) -> Column:
             out = F.when(F.length(d) == n, by_length(n)).otherwise(out)
         return out
 
-    return let(_digits(m), lambda d: F.when(F.luhn_check(d), _relayout(m, of(d))).otherwise(m))
+    return let(_digits(m), lambda d: F.when(F.call_function("luhn_check", d), _relayout(m, of(d))).otherwise(m))
 
 
 def phone(m: Column, key: str) -> Column:
@@ -119,8 +122,8 @@ def ssn(m: Column, key: str) -> Column:
 
 
 def _ssn_text(x: Column) -> Column:
-    high = F.floor(x / 9999).cast("long")
-    area = F.floor(high / 99).cast("long") + 1
+    high = _div(x, 9999)
+    area = _div(high, 99) + 1
     return F.concat(_pad(area + (area >= 666).cast("long"), 3), F.lit("-"), _pad(high % 99 + 1, 2), F.lit("-"), _pad(x % 9999 + 1, 4))
 
 
@@ -147,10 +150,62 @@ def _one(f):
 
 
 def email(m: Column, key: str) -> Column:
-    """Letters and digits of the local part change places within their kind and case; the host stays."""
+    """Letters and digits of the local part are shifted within their case or kind, half by half; the host stays."""
+    which = "[A-Za-z0-9]"
     at = F.instr(m, "@")
-    chars = F.split(_sub(m, F.lit(1), at - 1), "")
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    alphabet = lambda c: F.when(c.rlike("[a-z]"), letters).when(c.rlike("[A-Z]"), letters.upper()).when(c.rlike("[0-9]"), "0123456789").otherwise(c)
-    shifted = lambda c, n: let(alphabet(c), lambda s: F.substr(s, ((F.instr(s, "a") * 0 + F.locate_in(s, c) - 1 + n) % F.length(s) + 1).cast("int"), F.lit(1)))
-    raise NotImplementedError
+    local = F.substr(m, F.lit(1), at - 1)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabet = lambda c: F.when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), upper).otherwise(digits)
+
+    def turn(half: Column, other: Column, r: int) -> Column:
+        seed = F.concat_ws("|", F.array_join(other, ""), F.size(half).cast("string"))
+
+        def shifted(c: Column, i: Column) -> Column:
+            noise = _noise(key, "email", r, F.concat_ws("|", i.cast("string"), seed), 1 << 40)
+            return let(alphabet(c), lambda s: F.substr(s, ((F.position(c, s) - 1 + noise) % F.length(s) + 1).cast("int"), F.lit(1)))
+
+        return F.transform(half, shifted)
+
+    def go(s: Column, r: int) -> Column:
+        if r == ROUNDS:
+            return F.array_join(F.concat(s["p"], s["q"]), "")
+        p, q = (s["p"], turn(s["q"], s["p"], r)) if r % 2 else (turn(s["p"], s["q"], r), s["q"])
+        return let(F.struct(p.alias("p"), q.alias("q")), lambda t: go(t, r + 1))
+
+    half = lambda c: F.struct(F.slice(c, F.lit(1), _div(F.size(c), 2).cast("int")).alias("p"), F.slice(c, _div(F.size(c), 2).cast("int") + 1, F.size(c)).alias("q"))
+    chars = F.filter(F.split(local, ""), lambda c: c.rlike(which))
+    new = let(chars, lambda c: let(half(c), lambda s: go(s, 0)))
+    return F.concat(_relayout(local, new, which), F.substr(m, at, F.length(m)))
+
+
+MAKERS = {"email": email, "phone": phone, "ip": ip, "date": date, "ssn": ssn, "card": card}
+
+
+def _find(m: Column, key: str) -> Column:
+    """The kind of a match, null if it is not valid, and what is written in its place."""
+    is_kind = {k: m.rlike(f"^(?:{p})$") for k, p in KINDS.items()}
+    kind, new = F.lit(None).cast("string"), m
+    for k in reversed(KINDS):
+        kind, new = F.when(is_kind[k], k).otherwise(kind), F.when(is_kind[k], MAKERS[k](m, key)).otherwise(new)
+    return let(new, lambda n: let(kind, lambda k: F.struct(F.when(~k.isin("card", "date") | (n != m), k).alias("kind"), n.alias("new"))))
+
+
+def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, kinds): the text with pseudonyms, and the kind of each value replaced, in order.
+
+    One scan, no shuffle.  Texts without a match are passed on as they are.  The
+    key is part of the plan; keep plans and event logs where the key may be.
+    """
+    text = F.col("t")
+    gaps = F.split(text, ALL)
+    done = let(F.transform(F.regexp_extract_all(text, F.lit(ALL), F.lit(0)), lambda m: _find(m, key)), lambda f: _joined(gaps, f))
+    same = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    out = own.select("id", F.when(text.rlike(ALL), done).otherwise(same).alias("x"))
+    return out.select(F.col("id").alias(id_col), F.col("x.text").alias(text_col), F.col("x.kinds").alias("kinds"))
+
+
+def _joined(gaps: Column, finds: Column) -> Column:
+    parts = F.zip_with(gaps, finds, lambda g, f: F.concat(g, F.coalesce(f["new"], F.lit(""))))
+    kinds = F.filter(F.transform(finds, lambda f: f["kind"]), lambda k: k.isNotNull())
+    return F.struct(F.array_join(parts, "").alias("text"), kinds.alias("kinds"))
