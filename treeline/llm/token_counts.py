@@ -56,8 +56,6 @@ class TextCounts:
         return words, counts
 
     def total(self, text: str) -> int:
-        if not any(s in text for s in self.voc.special):
-            return sum([c[-1] for c in map(self.memo.__getitem__, SPLIT.findall(text))])
         return sum(self.words(text)[1])
 
     def _within(self, words: list[str], ends: list[int], sums: list[int], text: str, w: int, k: int) -> int:
@@ -90,18 +88,29 @@ class TextCounts:
 
     def fit(self, text: str, limit: int) -> int:
         """The largest k with at most ``limit`` tokens in ``text[:k]``."""
+        return self.count_and_fit(text, limit)[1]
+
+    def count_and_fit(self, text: str, limit: int) -> tuple[int, int]:
+        """The token count of a text, and what ``fit`` says."""
         words, counts = self.words(text)
+        total = sum(counts)
+        if total <= limit:
+            return total, len(text)
+        # Only the words up to the limit, and two more, can hold the cut.
+        end, most = 0, 0
+        while most <= limit:
+            most += counts[end]
+            end += 1
+        words, counts = words[: end + 3], counts[: end + 3]
         sums = list(accumulate(counts))
-        if not sums or sums[-1] <= limit:
-            return len(text)
         ends = list(accumulate(map(len, words)))
         # Whole words fit up to ``w``.  A cut can take at most two words with it.
         w = bisect_right(sums, limit)
         for x in range(min(w + 2, len(words) - 1), -1, -1):
             for k in range(ends[x], ends[x - 1] if x else 0, -1):
                 if self._within(words, ends, sums, text, x, k) <= limit:
-                    return k
-        return 0
+                    return total, k
+        return total, 0
 
 
 def prefix_table(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,10 +146,10 @@ def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str =
             for text in b.column(1).to_pylist():
                 text = text or ""
                 counter.memo.room()
-                n = counter.total(text)
+                n, fit = counter.count_and_fit(text, limit)
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(n)
-                fits.append(counter.fit(text, limit) if n > limit else len(text))
+                fits.append(fit)
             yield pa.record_batch(
                 [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())],
                 ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
