@@ -29,6 +29,8 @@ GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 13, 5
 #: Benchmark shingles are broadcast up to so many rows of about 50 bytes.
 BROADCAST_ROWS = 500_000
+#: Ids of documents with an alignment are broadcast up to so many rows of 8 bytes.
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -60,14 +62,13 @@ def item_shingles(benchmark: DataFrame, id_col: str, text_col: str, window: int)
 
 
 def _corpus_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(id, n, size, pos, token) of all documents; only ids and numbers leave the scan."""
-    arrays = [shingles(F.col("w"), s) for s in sizes]
+    """(id, n, pos, token) of all documents; only ids and numbers leave the scan."""
     rows = docs.select("id", words(F.col("t")).alias("w"))
-    per_size = F.array(*[F.struct(F.lit(s).alias("size"), a.alias("tokens")) for s, a in zip(sizes, arrays, strict=True)])
+    arrays = [shingles(F.col("w"), s) for s in sizes]
     if len(sizes) == 1:
-        return rows.select("id", F.size("w").alias("n"), F.lit(sizes[0]).alias("size"), F.posexplode(arrays[0]).alias("pos", "token"))
-    rows = rows.select("id", F.size("w").alias("n"), F.explode(per_size).alias("s"))
-    return rows.select("id", "n", F.col("s.size").alias("size"), F.posexplode("s.tokens").alias("pos", "token"))
+        return rows.select("id", F.size("w").alias("n"), F.posexplode(arrays[0]).alias("pos", "token"))
+    rows = rows.select("id", F.size("w").alias("n"), F.explode(F.array(*arrays)).alias("tokens"))
+    return rows.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -79,18 +80,19 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     few = is_under(marks, BROADCAST_ROWS)
     small = F.broadcast if few else (lambda x: x)
 
-    tokens = marks.select("size", "token").distinct()
-    counts = materialize(_corpus_shingles(docs, sizes).select("size", "token").join(small(tokens), ["size", "token"]).groupBy("size", "token").agg(F.count(F.lit(1)).alias("found")), "shingle-counts")
+    # Shingles of different sizes have different hashes, so the hash alone is the join key.
+    tokens = marks.select("token").distinct()
+    counts = materialize(_corpus_shingles(docs, sizes).select("token").join(small(tokens), "token").groupBy("token").agg(F.count(F.lit(1)).alias("found")), "shingle-counts")
 
     # Each window: the shingles from ``pos`` to ``pos + len - size`` of its item; keep the rarest.
     inside = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - (F.col("len") - F.col("size"))), F.least(F.col("pos"), F.size("words") - F.col("len"))))
-    rated = marks.join(counts, ["size", "token"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    rated = marks.join(counts, "token", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     choice = F.min(F.struct("found", "pos", "token")).alias("x")
     rarest = rated.select("item", "words", "len", "size", "found", "pos", "token", inside.alias("start")).groupBy("item", "words", "len", "size", "start").agg(choice)
     prefix = rarest.filter("x.found > 0").select("item", "words", "len", "size", F.col("x.pos").alias("at"), F.col("x.token").alias("token")).distinct()
     prefix = materialize(prefix, "prefixes")
 
-    matches = _corpus_shingles(docs, sizes).join(small(prefix.select("size", "token", "item", "at", "len", F.size("words").alias("m"))), ["size", "token"])
+    matches = _corpus_shingles(docs, sizes).join(small(prefix.select("size", "token", "item", "at", "len", F.size("words").alias("m"))), "token")
     shift = F.col("pos") - F.col("at")
     room = F.least(F.col("n"), shift + F.col("m")) - F.greatest(F.lit(0), shift)
     placed = materialize(matches.filter(room >= F.col("len")).select("id", "item", "m", "size", "at", shift.alias("shift")).distinct(), "alignments")
@@ -99,16 +101,21 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     per_doc = materialize(aligned.groupBy("id").agg(F.collect_list("a").alias("aligned")), "alignments-by-document")
     drop(marks, counts, prefix, placed)
 
-    joined = docs.join(per_doc.withColumnRenamed("id", "id2"), F.col("id").eqNullSafe(F.col("id2")), "left")
-    found = F.when(F.col("aligned").isNull(), F.array().cast("array<struct<item:string,at:array<int>>>")).otherwise(let(words(F.col("t")), lambda w: F.transform(F.col("aligned"), lambda a: _confirm(w, a))))
+    # Only texts with an alignment are read again whole; rows that share an id are told apart by their text.
+    per_doc = per_doc.withColumnRenamed("id", "id2")
+    same = F.col("id").eqNullSafe(F.col("id2"))
+    ids = per_doc.select("id2")
+    texts = docs.join(F.broadcast(ids) if is_under(ids, BROADCAST_IDS) else ids, same, "left_semi")
+    found = let(words(F.col("t")), lambda w: F.transform("aligned", lambda a: _confirm(w, a)))
+    found = texts.join(per_doc, same).select("id", F.xxhash64("t").alias("h"), F.filter(found, lambda f: F.size(f["at"]) > 0).alias("found"))
+    n_hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda f: f["at"])))).cast("long")
+    items = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item"])))
+    hits = found.select(F.col("id").alias("id2"), F.col("h").alias("h2"), n_hit.alias("n_hit"), items.alias("items")).dropDuplicates(["id2", "h2"])
     plain = F.array_remove(F.split(F.coalesce(F.col("t"), F.lit("")), GAPS_ANY_CASE), "")
-    out = joined.select("id", F.size(plain).cast("long").alias("n_words"), F.filter(found, lambda f: F.size(f["at"]) > 0).alias("found"))
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.size(F.array_distinct(F.flatten(F.transform("found", lambda f: f["at"])))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item"]))).alias("items"),
-    )
+    every = docs.select("id", F.xxhash64("t").alias("h"), F.size(plain).cast("long").alias("n_words"))
+    out = every.join(hits, same & (F.col("h") == F.col("h2")), "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def _confirm(w: Column, a: Column) -> Column:
