@@ -1 +1,50 @@
-"""Queries."""
+"""Queries on the transaction log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import DEDUP_S
+from ..lens import Lens
+from ..operators import oplog as log
+from .catalog import query
+
+
+@query("SELECT seq, op, fid FROM oplog WHERE seq <= (SELECT max(seq) FROM oplog WHERE committed AND seq % 100 = 0)")
+def committed_ops(x: Lens):
+    return log.committed(x.oplog, x.oplog.filter("committed AND seq % 100 = 0").select("seq")).select("seq", "op", "fid")
+
+
+@query(""", s AS (SELECT seq // 100 AS segment, min(seq) AS start, max(seq) AS "end" FROM oplog WHERE committed GROUP BY 1), l AS (SELECT *, lag("end") OVER (ORDER BY segment) + 1 AS expected FROM s)
+SELECT segment, start, expected, CASE WHEN start > expected THEN 'gap' ELSE 'overlap' END AS problem FROM l WHERE start <> expected""")
+def segment_gaps(x: Lens):
+    s = x.oplog.filter("committed").groupBy(F.expr("seq div 100").alias("segment")).agg(F.min("seq").alias("start"), F.max("seq").alias("end"))
+    return log.segment_gaps(s)
+
+
+@query(f""", r AS (SELECT *, lag(us) OVER (PARTITION BY uid % 3, seq // 40 ORDER BY us, seq) AS b FROM oplog) SELECT seq, uid % 3 AS uid, seq // 40 AS rid FROM r WHERE b IS NULL OR us - b > {DEDUP_S}000000""")
+def dedup_requests(x: Lens):
+    r = x.oplog.select("seq", (F.col("uid") % 3).alias("uid"), F.expr("seq div 40").alias("rid"), "us")
+    return log.dedup_requests(r, DEDUP_S * 1_000_000).select("seq", "uid", "rid")
+
+
+@query(""", o AS (SELECT seq, op, fid % 500 AS fid, arg, us FROM oplog WHERE committed),
+b AS (SELECT fid, coalesce(max(seq) FILTER (op = 'create'), -1) AS c, coalesce(max(seq) FILTER (op = 'remove'), -1) AS r, count(*) AS n FROM o GROUP BY fid),
+t AS (SELECT o.fid, max_by(arg, seq) AS v FROM o JOIN b USING (fid) WHERE op = 'truncate' AND seq > greatest(c, r) GROUP BY o.fid),
+m AS (SELECT o.fid, max_by(us, seq) AS v FROM o JOIN b USING (fid) WHERE op = 'setmtime' AND seq > greatest(c, r) GROUP BY o.fid),
+k AS (SELECT fid, max_by(us, seq) AS v FROM o WHERE op = 'create' GROUP BY fid)
+SELECT b.fid, c >= r AS exists, CASE WHEN c >= r THEN coalesce(t.v, 0) ELSE 0 END AS size, CASE WHEN c >= r THEN coalesce(m.v, k.v, 0) END AS mtime, n
+FROM b LEFT JOIN t USING (fid) LEFT JOIN m USING (fid) LEFT JOIN k USING (fid)""")
+def log_fold(x: Lens):
+    """Files share 500 ids here, so that operations meet."""
+    return log.fold(x.oplog.filter("committed").withColumn("fid", F.col("fid") % 500))
+
+
+@query("SELECT name, seq FROM (SELECT uid AS name, seq, row_number() OVER (PARTITION BY uid ORDER BY seq DESC) AS r FROM oplog) WHERE r > 3")
+def prune_keep_n(x: Lens):
+    return log.prune(x.oplog.select(F.col("uid").alias("name"), "seq"), 3)
+
+
+@query("SELECT chunk_id, min(size - k * 17) AS size, count(*) AS copies FROM replicas GROUP BY chunk_id")
+def append_converge(x: Lens):
+    return log.converge(x.replicas.withColumn("size", F.col("size") - F.col("k") * 17))

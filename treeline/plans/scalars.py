@@ -1 +1,115 @@
-"""Queries."""
+"""Queries on bytes, checksums, paths and text."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import checksums as cs
+from ..functions import text as T
+from ..lens import Lens, micros
+from .catalog import query
+
+BYTES = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, i, len(h) // 2 AS n, ('0x' || h[2*i+1:2*i+2])::BIGINT AS v FROM (SELECT doc_id, h, unnest(range(len(h) // 2)) AS i FROM d))
+"""
+ADLER = "(((sum({n} * 1::HUGEINT) * 0 + any_value({n}) + sum(({n} - {i}) * v)) % 65521) * 65536 + (1 + sum(v)) % 65521)::BIGINT"
+
+
+@query(BYTES + f"SELECT d.doc_id, coalesce(a, 1) AS adler FROM d LEFT JOIN (SELECT doc_id, {ADLER.format(n='n', i='i')} AS a FROM b GROUP BY doc_id) USING (doc_id)", tables=False)
+def adler32(x: Lens):
+    return x.file_bytes.select("doc_id", cs.adler32("content").alias("adler"))
+
+
+@query(BYTES + f", k AS (SELECT doc_id, i // 1024 AS block, {ADLER.format(n='least(1024, n - i // 1024 * 1024)', i='i % 1024')} AS a FROM b GROUP BY doc_id, i // 1024) SELECT doc_id, block, a AS adler FROM k", tables=False)
+def block_checksums(x: Lens):
+    rows = x.file_bytes.select("doc_id", F.posexplode(cs.block_adler32(1024)("content")).alias("block", "adler"))
+    return rows.select("doc_id", F.col("block").cast("long").alias("block"), "adler")
+
+
+@query(BYTES + f"SELECT d.doc_id, coalesce(a, 1) AS adler, true AS same FROM d LEFT JOIN (SELECT doc_id, {ADLER.format(n='n', i='i')} AS a FROM b GROUP BY doc_id) USING (doc_id)", tables=False)
+def adler32_combine(x: Lens):
+    """The whole from its two halves."""
+    half = F.call_function("div", F.octet_length("content"), F.lit(2)).cast("int")
+    rows = x.file_bytes.withColumns({"a": F.substr("content", F.lit(1), half), "b": F.substr("content", half + 1, F.octet_length("content"))})
+    whole = cs.adler32_combine(cs.adler32("a"), cs.adler32("b"), F.octet_length("b").cast("long"))
+    return rows.select("doc_id", whole.alias("adler"), (whole == cs.adler32("content")).alias("same"))
+
+
+@query("SELECT doc_id, doc_id * 10007 AS \"offset\", doc_id * 10007 // 65536 AS block, doc_id * 10007 // 65536 * 65536 AS start, (doc_id * 10007 // 65536 + 1) * 65536 AS \"end\" FROM documents", tables=False)
+def checksum_block_geometry(x: Lens):
+    rows = x.table("documents").select("doc_id", (F.col("doc_id") * 10007).alias("offset"))
+    return rows.select("doc_id", "offset", *[c.alias(k) for k, c in cs.block_geometry(F.col("offset")).items()])
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS md5, md5(md5(coalesce(text, ''))) AS nested FROM documents", tables=False)
+def md5_lines(x: Lens):
+    return x.file_bytes.select("doc_id", F.md5("content").alias("md5"), F.md5(F.md5("content")).alias("nested"))
+
+
+@query(tables=False)
+def crc32(x: Lens):
+    return x.file_bytes.select("doc_id", F.crc32("content").alias("crc"))
+
+
+@query("SELECT doc_id, CASE WHEN len(h) <= 2048 THEN h ELSE h[len(h)-2047:] END AS tail FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)", tables=False)
+def tail_bytes(x: Lens):
+    return x.file_bytes.select("doc_id", F.hex(F.when(F.octet_length("content") > 1024, F.substring("content", -1024, 1024)).otherwise(F.col("content"))).alias("tail"))
+
+
+@query(r"""SELECT page_id, '/' || array_to_string(list_filter(string_split(p, '/'), lambda s: s <> '' AND s <> '.'), '/') AS path, parse_filename(rtrim(p, '/')) AS base
+FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+:/*', '//'), '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '//x/./y' WHEN 1 THEN '/z/' ELSE '' END AS p FROM pages)""", tables=False)
+def normalize_path(x: Lens):
+    p = F.regexp_replace(F.regexp_replace("url", "^[a-z]+:/*", "//"), "[?#].*$", "")
+    p = F.concat(p, F.when(F.col("page_id") % 3 == 0, "//x/./y").when(F.col("page_id") % 3 == 1, "/z/").otherwise(""))
+    return x.table("pages").select("page_id", T.normalize_path(p).alias("path"), T.basename(p).alias("base"))
+
+
+@query("SELECT n, '/' || CASE n % 3 WHEN 0 THEN 'a/c' WHEN 1 THEN 'd' ELSE '' END AS path FROM range(100) t(n)", tables=False)
+def normalize_dots(x: Lens):
+    p = F.expr("CASE id % 3 WHEN 0 THEN '/a/b/../c' WHEN 1 THEN '/../../d/' ELSE '//./x/..' END")
+    return x.spark.range(100).select(F.col("id").alias("n"), T.normalize_path(p).alias("path"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso FROM events""", tables=False)
+def iso_micros(x: Lens):
+    return x.table("events").select("event_id", T.iso_micros(micros("ts")).alias("iso"))
+
+
+@query("""SELECT event_id, regexp_extract(props, '"k": *([0-9-]+)', 1) AS k FROM events""", tables=False)
+def parse_props(x: Lens):
+    flat = F.regexp_replace("props", '[{}" ]', "")
+    return x.table("events").select("event_id", F.coalesce(F.element_at(F.str_to_map(flat, F.lit(","), F.lit(":")), "k"), F.lit("")).alias("k"))
+
+
+@query(tables=False)
+def name_hash_order(x: Lens):
+    """Directory entries in the order of their name hash, ties by name."""
+    rows = x.fattr.select("parent", "name", "fid").withColumn("hash", cs.name_hash("name"))
+    return rows.withColumn("key", cs.directory_order(F.col("hash"))).orderBy("parent", "hash", "name")
+
+
+@query(tables=False)
+def object_key(x: Lens):
+    c = x.chunks.select("fid", "chunk_id", F.when(F.col("chunk_id") % 2 == 0, -F.col("version")).otherwise(F.col("version")).alias("version"))
+    return c.select("chunk_id", cs.object_key(F.lit(7_700_000_001).cast("long") + F.col("fid") * 0, "fid", "chunk_id", "version").alias("key"))
+
+
+@query("SELECT doc_id, text AS back FROM documents WHERE text IS NOT NULL", tables=False)
+def escape_round_trip(x: Lens):
+    return x.table("documents").filter("text IS NOT NULL").select("doc_id", cs.unescape(cs.escape("text")).alias("back"))
+
+
+@query(tables=False)
+def scrub(x: Lens):
+    """Chunk files made of the documents, one in seven damaged, and what the scrubber says of each."""
+    @F.pandas_udf("binary")
+    def build(doc: pd.Series, content: pd.Series) -> pd.Series:
+        out = [bytearray(cs.chunk_file(1, int(d), 1, c)) for d, c in zip(doc, content, strict=True)]
+        for d, b in zip(doc, out, strict=True):
+            if d % 7 == 0 and len(b) > cs.HEADER_SIZE:
+                b[cs.HEADER_SIZE] ^= 1
+        return pd.Series([bytes(b) for b in out])
+
+    rows = x.file_bytes.withColumn("file", build("doc_id", "content"))
+    return rows.select("doc_id", cs.scrub(F.concat(F.lit("/c/1."), F.col("doc_id").cast("string"), F.lit(".1")), "file").alias("result"))
