@@ -63,12 +63,16 @@ def item_shingles(benchmark: DataFrame, id_col: str, text_col: str, window: int)
 
 def _corpus_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """(id, n, pos, token) of all documents; only ids and numbers leave the scan."""
-    rows = docs.select("id", words(F.col("t")).alias("w"))
-    arrays = [shingles(F.col("w"), s) for s in sizes]
+    arrays = lambda w: F.flatten(F.array(*[_placed(shingles(w, s)) for s in sizes])) if len(sizes) > 1 else shingles(w, sizes[0])
+    # The words themselves stay inside this expression; only numbers are written to rows.
+    rows = docs.select("id", let(words(F.col("t")), lambda w: F.struct(F.size(w).alias("n"), arrays(w).alias("k"))).alias("s"))
     if len(sizes) == 1:
-        return rows.select("id", F.size("w").alias("n"), F.posexplode(arrays[0]).alias("pos", "token"))
-    rows = rows.select("id", F.size("w").alias("n"), F.explode(F.array(*arrays)).alias("tokens"))
-    return rows.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+        return rows.select("id", "s.n", F.posexplode("s.k").alias("pos", "token"))
+    return rows.select("id", "s.n", F.explode("s.k").alias("x")).select("id", "n", "x.pos", "x.token")
+
+
+def _placed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
