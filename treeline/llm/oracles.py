@@ -25,12 +25,14 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
   length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   length(regexp_replace(t, '[\x20\x09-\x0D!-@\[-`{-~]', '', 'g'))::BIGINT AS n_letters,
-  len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i-1]))::BIGINT AS n_same_next
   FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-  + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 4 ELSE 0 END + CASE WHEN 2 * n_symbols > word_chars THEN 8 ELSE 0 END
+  + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 4 ELSE 0 END + CASE WHEN 4 * n_symbols > n_words THEN 8 ELSE 0 END
   + CASE WHEN n_words > 0 AND (2 * word_chars < 3 * n_words OR word_chars > 40 * n_words) THEN 16 ELSE 0 END
-  + CASE WHEN 10 * n_letters < 3 * word_chars THEN 32 ELSE 0 END)::BIGINT AS failed_bits FROM m)
+  + CASE WHEN 10 * n_letters < 3 * word_chars THEN 32 ELSE 0 END
+  + CASE WHEN 100 * n_same_next > 30 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 

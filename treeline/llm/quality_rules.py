@@ -29,9 +29,10 @@ RULES = (
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     ("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
-    ("symbols", "2 * n_symbols > word_chars"),
+    ("symbols", "4 * n_symbols > n_words"),
     ("word_length", "n_words > 0 AND (2 * word_chars < 3 * n_words OR word_chars > 40 * n_words)"),
     ("few_letters", "10 * n_letters < 3 * word_chars"),
+    ("stutter", "100 * n_same_next > 30 * n_words"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
@@ -91,7 +92,8 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     trimmed = F.btrim(text, F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    same = lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False))))
+    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"), same(w).alias("s")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     n = lambda c: c.cast("long")
     return own.select("id", text.alias("t"), of_words.alias("w"), of_lines.alias("l")).select(
@@ -103,6 +105,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n(F.col("l.n")).alias("n_lines"),
         n(F.col("l.d")).alias("n_dup_lines"),
         n(F.col("w.r")).alias("n_repeat_words"),
+        n(F.col("w.s")).alias("n_same_next"),
     )
 
 
