@@ -18,12 +18,13 @@ gives an empty table.  Other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, small_batches
+from .common import materialize, small_batches
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _MARKED = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
@@ -71,15 +72,19 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     """(tree, node, path): for each leaf of (tree, node, parent) the nodes from its root to it."""
     known = nodes.select(F.col("tree").alias("t2"), F.col("node").alias("n2")).distinct()
     up = nodes.join(known, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
-    state = materialize(up.select("tree", "node", F.col("n2").alias("next"), F.array("node").alias("path")), "paths")
     parents = nodes.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
-    while not state.filter("next is not null").isEmpty():
-        above = state.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("next").alias("jump"), F.col("path").alias("before"))
-        longer = state.join(above, (F.col("tree") == F.col("t2")) & (F.col("next") == F.col("n2")), "left")
-        path = F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path"))
-        then, state = state, materialize(longer.select("tree", "node", F.col("jump").alias("next"), path.alias("path")), "paths")
-        drop(then)
-    return state.join(parents, ["tree", "node"], "left_anti").select("tree", "node", "path")
+    now, parts = materialize(up.select("tree", "node", F.col("n2").alias("next"), F.array("node").alias("path")), "paths"), []
+    while True:
+        # Whole paths are done; only the others are joined again.
+        parts.append(now.filter("next is null"))
+        rest = now.filter("next is not null")
+        if rest.isEmpty():
+            break
+        known = reduce(DataFrame.union, [*parts, rest])
+        above = known.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("next").alias("jump"), F.col("path").alias("before"))
+        longer = rest.join(above, (F.col("tree") == F.col("t2")) & (F.col("next") == F.col("n2")))
+        now = materialize(longer.select("tree", "node", F.col("jump").alias("next"), F.concat("before", "path").alias("path")), "paths")
+    return reduce(DataFrame.union, parts).join(parents, ["tree", "node"], "left_anti").select("tree", "node", "path")
 
 
 def _format(batches):

@@ -34,6 +34,7 @@ class TextCounts:
     def __init__(self, voc: Vocabulary):
         self.voc = voc
         self.memo = Memo(self._word)
+        self._cut: tuple[str, list[int]] = ("", [0])
 
     def _word(self, word: str) -> array:
         """Token counts at the byte prefixes of a word, from 0 on."""
@@ -41,6 +42,13 @@ class TextCounts:
         self.voc.extend(word.encode(), [0], [-1], counts)
         return array("H" if len(counts) < 65536 else "I", counts)
 
+    def _cuts(self, word: str) -> list[int]:
+        """Token counts at the code point prefixes of a word; the last word's are kept."""
+        if self._cut[0] != word:
+            counts = self.memo[word]
+            self._cut = (word, [counts[i] for i in accumulate((len(c.encode()) for c in word), initial=0)])
+        return self._cut[1]
+
     def words(self, text: str) -> tuple[list[str], list[int]]:
         """The words and special strings of a text, and their token counts."""
         words: list[str] = []
@@ -72,7 +80,7 @@ class TextCounts:
             return sums[w]
         plain = word not in self.voc.special and word[0] != "'" and not text[k - 1].isspace() and not (w and words[w - 1] in self.voc.special)
         if plain:
-            return (sums[w - 1] if w else 0) + self.memo[word][len(text[start:k].encode())]
+            return (sums[w - 1] if w else 0) + self._cuts(word)[k - start]
         first = max(0, w - 2)
         at = ends[first - 1] if first else 0
         return (sums[first - 1] if first else 0) + self.total(text[at:k])
