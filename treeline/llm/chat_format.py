@@ -10,7 +10,7 @@ before every backslash and control string inside roles and texts, so any text ca
 be read back.  The loss mask covers the texts of assistant turns, nothing else.
 
 Edge cases: null texts and roles are empty.  Nodes whose parent is missing are
-roots.  Turns with equal numbers are ordered by role and text; repeated rows are
+roots; replies that form a cycle are an error.  Turns with equal numbers are ordered by role and text; repeated rows are
 turns of their own.  Nodes with a null tree id form one tree.  An empty table
 gives an empty table.  Other columns are not read.
 """
@@ -83,7 +83,10 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
         known = reduce(DataFrame.union, [*parts, rest])
         above = known.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("next").alias("jump"), F.col("path").alias("before"))
         longer = rest.join(above, (F.col("tree") == F.col("t2")) & (F.col("next") == F.col("n2")))
-        now = materialize(longer.select("tree", "node", F.col("jump").alias("next"), F.concat("before", "path").alias("path")), "paths")
+        path = F.concat("before", "path")
+        turned = F.raise_error(F.lit("replies form a cycle")).cast("long")
+        jump = F.when(F.array_contains(path, F.col("jump")), turned).otherwise(F.col("jump"))
+        now = materialize(longer.select("tree", "node", jump.alias("next"), path.alias("path")), "paths")
     return reduce(DataFrame.union, parts).join(parents, ["tree", "node"], "left_anti").select("tree", "node", "path")
 
 
