@@ -105,6 +105,7 @@ def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """
     small_batches(nodes.sparkSession)
     nodes = nodes.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "tree": F.coalesce("tree", F.lit(NO_TREE))})
+    nodes = materialize(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
     steps = reply_paths(nodes).select("tree", F.col("node").alias("leaf"), F.posexplode("path").alias("pos", "node"))
     scored = steps.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
