@@ -64,11 +64,12 @@ def item_shingles(benchmark: DataFrame, id_col: str, text_col: str, window: int)
 def _corpus_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """(id, n, pos, token) of all documents; only ids and numbers leave the scan."""
     arrays = lambda w: F.flatten(F.array(*[_placed(shingles(w, s)) for s in sizes])) if len(sizes) > 1 else shingles(w, sizes[0])
-    # The words themselves stay inside this expression; only numbers are written to rows.
+    # The words themselves stay inside this expression; only numbers are written to rows.  The outer
+    # forms have no filter inferred from them, which would compute the arrays a second time.
     rows = docs.select("id", let(words(F.col("t")), lambda w: F.struct(F.size(w).alias("n"), arrays(w).alias("k"))).alias("s"))
     if len(sizes) == 1:
-        return rows.select("id", "s.n", F.posexplode("s.k").alias("pos", "token"))
-    return rows.select("id", "s.n", F.explode("s.k").alias("x")).select("id", "n", "x.pos", "x.token")
+        return rows.select("id", "s.n", F.posexplode_outer("s.k").alias("pos", "token"))
+    return rows.select("id", "s.n", F.explode_outer("s.k").alias("x")).select("id", "n", "x.pos", "x.token")
 
 
 def _placed(tokens: Column) -> Column:
