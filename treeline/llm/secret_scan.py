@@ -147,7 +147,8 @@ def postings(df: DataFrame, grams: list[str], id_col: str = "doc_id", text_col:
     """(gram, id): the inverted index of the given trigrams; grams by their position."""
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     held = lambda t: F.filter(F.array(*[F.when(F.contains(t, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())
-    return df.select(F.col(id_col).alias("id"), F.explode(let(low, held)).alias("gram"))
+    # Outer, as the filter inferred from the plain form would compute the list a second time.
+    return df.select(F.col(id_col).alias("id"), F.explode_outer(let(low, held)).alias("gram")).filter("gram IS NOT NULL")
 
 
 def candidates(index: DataFrame, grams: list[str], queries: list) -> DataFrame:
