@@ -157,7 +157,7 @@ class Memo(dict):
     ``make`` computes a missing result.  Dropped words are computed again when they return.
     """
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
