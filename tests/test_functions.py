@@ -42,6 +42,17 @@ def test_four_losses_are_an_error():
         rs.decode(np.zeros((9, 16), np.uint8), [0, 1, 2, 3])
 
 
+@pytest.mark.parametrize("n,m", [(1, 1), (4, 2), (3, 4), (10, 5)])
+def test_any_number_of_parities(n, m):
+    rng = np.random.default_rng(n)
+    data = rng.integers(0, 256, (n, 16), dtype=np.uint8)
+    blocks = np.concatenate([data, rs.encode_any(data, m)])
+    for lost in combinations(range(n + m), m):
+        broken = blocks.copy()
+        broken[list(lost)] = 0
+        assert (rs.decode_any(broken, m, list(lost)) == blocks).all()
+
+
 @given(st.binary(max_size=3000), st.integers(1, 7))
 def test_stripes_round_trip(data, n):
     assert rs.unstripe(rs.stripe(data, n, 64), len(data), 64) == data

@@ -55,6 +55,23 @@ def encode(data: np.ndarray) -> np.ndarray:
     return p
 
 
+def solve(left: list[list[int]], right: list[np.ndarray]) -> list[np.ndarray]:
+    """The blocks x with left x = right, by elimination."""
+    left, right, n = [list(r) for r in left], list(right), len(left)
+    times = lambda a, row: [int(multiply(a, np.array([x], np.uint8))[0]) for x in row]
+    for i in range(n):
+        pivot = next(r for r in range(i, n) if left[r][i])
+        left[i], left[pivot], right[i], right[pivot] = left[pivot], left[i], right[pivot], right[i]
+        scale = inverse(left[i][i])
+        left[i], right[i] = times(scale, left[i]), multiply(scale, right[i])
+        for r in range(n):
+            if r != i and left[r][i]:
+                f = left[r][i]
+                left[r] = [x ^ y for x, y in zip(left[r], times(f, left[i]), strict=True)]
+                right[r] = right[r] ^ multiply(f, right[i])
+    return right
+
+
 def decode(blocks: np.ndarray, lost: list[int]) -> np.ndarray:
     """All blocks, data then parity, with the lost ones (at most three) made anew."""
     n = len(blocks) - PARITY
@@ -68,17 +85,7 @@ def decode(blocks: np.ndarray, lost: list[int]) -> np.ndarray:
     partial = encode(held)
     left = [[power(k, j) if k else 1 for j in gone] for k in rows]
     right = [out[n + k] ^ partial[k] for k in rows]
-    for i in range(len(gone)):
-        pivot = next(r for r in range(i, len(gone)) if left[r][i])
-        left[i], left[pivot], right[i], right[pivot] = left[pivot], left[i], right[pivot], right[i]
-        scale = inverse(left[i][i])
-        left[i] = [int(multiply(scale, np.array([x], np.uint8))[0]) for x in left[i]]
-        right[i] = multiply(scale, right[i])
-        for r in range(len(gone)):
-            if r != i and left[r][i]:
-                f = left[r][i]
-                left[r] = [x ^ int(multiply(f, np.array([y], np.uint8))[0]) for x, y in zip(left[r], left[i], strict=True)]
-                right[r] = right[r] ^ multiply(f, right[i])
+    right = solve(left, right)
     for i, j in enumerate(gone):
         out[j] = right[i]
     again = encode(out[:n])
@@ -107,3 +114,40 @@ CODECS = {"none": (0, 0), "rs": (64, PARITY)}
 def valid(codec: str, n: int, m: int) -> bool:
     most, parity = CODECS[codec]
     return (n, m) == (0, 0) if codec == "none" else 0 < n <= most and m == parity
+
+
+def cauchy(n: int, m: int) -> list[list[int]]:
+    """An m by n matrix of which every square part can be inverted: 1 / (x_i + y_j) of distinct numbers."""
+    if n + m > 256:
+        raise ValueError("more than 256 blocks")
+    return [[inverse(i ^ (m + j)) for j in range(n)] for i in range(m)]
+
+
+def encode_any(data: np.ndarray, m: int) -> np.ndarray:
+    """m parity blocks of any number of data blocks."""
+    out = np.zeros((m, data.shape[1]), np.uint8)
+    for i, row in enumerate(cauchy(len(data), m)):
+        for a, d in zip(row, data, strict=True):
+            out[i] ^= multiply(a, d)
+    return out
+
+
+def decode_any(blocks: np.ndarray, m: int, lost: list[int]) -> np.ndarray:
+    """All blocks, data then m parities, with at most m lost ones made anew."""
+    n = len(blocks) - m
+    if len(lost) > m:
+        raise ValueError(f"more than {m} blocks are lost")
+    out = blocks.copy()
+    gone = [i for i in lost if i < n]
+    rows = [k for k in range(m) if n + k not in lost][: len(gone)]
+    matrix = cauchy(n, m)
+    held = out[:n].copy()
+    held[gone] = 0
+    partial = encode_any(held, m)
+    for i, block in zip(gone, solve([[matrix[k][j] for j in gone] for k in rows], [out[n + k] ^ partial[k] for k in rows]), strict=True):
+        out[i] = block
+    again = encode_any(out[:n], m)
+    for i in lost:
+        if i >= n:
+            out[i] = again[i - n]
+    return out

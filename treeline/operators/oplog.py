@@ -63,3 +63,15 @@ def prune(manifest: DataFrame, keep: int) -> DataFrame:
 def converge(appends: DataFrame) -> DataFrame:
     """(chunk_id, size, copies): after failed appends all copies keep what the shortest has."""
     return appends.groupBy("chunk_id").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+
+
+def block_checksums(lines: DataFrame, block: str = "block") -> DataFrame:
+    """(block, adler) of log lines (block, seq, line): the checksum of a block's lines in order, each with its line end.
+
+    A block is what is written to the log at once, so its lines fit in memory.
+    """
+    from ..functions.checksums import adler32
+
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    rows = lines.groupBy(block).agg(text.alias("text"))
+    return rows.select(block, adler32(F.encode("text", "UTF-8")).alias("adler"))

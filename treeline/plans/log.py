@@ -48,3 +48,11 @@ def prune_keep_n(x: Lens):
 @query("SELECT chunk_id, min(size - k * 17) AS size, count(*) AS copies FROM replicas GROUP BY chunk_id")
 def append_converge(x: Lens):
     return log.converge(x.replicas.withColumn("size", F.col("size") - F.col("k") * 17))
+
+
+@query(""", l AS (SELECT seq // 100 AS block, string_agg('a/' || seq || '/' || op || chr(10), '' ORDER BY seq) AS t FROM oplog GROUP BY 1),
+v AS (SELECT block, len(t) AS n, unnest(range(len(t))) AS i, t FROM l), w AS (SELECT block, n, i, ascii(t[i+1])::BIGINT AS v FROM v)
+SELECT block, ((any_value(n) + sum((n - i) * v)) % 65521 * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler FROM w GROUP BY block""")
+def log_block_checksums(x: Lens):
+    lines = x.oplog.select(F.expr("seq div 100").alias("block"), "seq", F.concat_ws("/", F.lit("a"), "seq", "op").alias("line"))
+    return log.block_checksums(lines)
