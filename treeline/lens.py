@@ -80,11 +80,15 @@ class Lens:
         late = "CASE WHEN (chunk_id + k) % 41 = 0 THEN 1 ELSE 0 END"
         return r.selectExpr("fid", "idx", "chunk_id", "k", "(suppkey + 37 * k) % n_servers AS server_id", f"version - {late} AS version", "size")
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Servers without what they hold."""
+        return self.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port", "cast(s_nationkey % 9 AS bigint) AS rack", "1000000000000L AS total")
+
     @cached_property
     def servers(self) -> DataFrame:
         used = self.replicas.groupBy("server_id").agg(F.sum("size").alias("used"))
-        s = self.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port", "cast(s_nationkey % 9 AS bigint) AS rack", "1000000000000L AS total")
-        return s.join(used, "server_id", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("long"))
+        return self.places.join(used, "server_id", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("long"))
 
     @cached_property
     def user_group(self) -> DataFrame:

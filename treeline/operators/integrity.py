@@ -6,9 +6,7 @@ Everything about a file is computed after one exchange by file id: groupings by
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ABANDONED_S, CHUNK
@@ -19,54 +17,66 @@ STATES = {1: "lost", 2: "lost_if_server_down", 3: "lost_if_rack_down", 4: "aband
 
 def chunk_states(files: DataFrame, chunks: DataFrame, replicas: DataFrame, servers: DataFrame) -> DataFrame:
     """(fid, block, chunk_id, m, n, sole_server, sole_rack): copies of each chunk, and the
-    server or rack that holds all of them."""
-    racks = servers.select("server_id", "rack")
-    per_chunk = replicas.join(racks, "server_id").groupBy("fid", "chunk_id").agg(
-        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("server_id", "rack") for k, f in (("lo", F.min), ("hi", F.max))]
-    )
+    server or rack that holds all of them.
+
+    Chunks and copies are laid together and exchanged by file id, once; what follows, up to
+    whole files, groups within that partitioning.
+    """
+    none = [F.lit(None).cast("long").alias(c) for c in ("server_id", "rack")]
+    held = replicas.join(servers.select("server_id", "rack"), "server_id").select("fid", "chunk_id", F.lit(None).cast("long").alias("offset"), "server_id", "rack")
+    rows = chunks.select("fid", "chunk_id", "offset", *none).union(held).repartition("fid")
+    ends = [f(c).alias(f"{k}_{c}") for c in ("server_id", "rack") for k, f in (("lo", F.min), ("hi", F.max))]
+    per_chunk = rows.groupBy("fid", "chunk_id").agg(F.max("offset").alias("offset"), F.count("server_id").alias("n"), *ends)
     sole = lambda c: F.when(F.col(f"lo_{c}") == F.col(f"hi_{c}"), F.col(f"lo_{c}"))
     f = files.select("fid", "num_stripes", "num_recovery", "num_replicas")
-    rows = chunks.select("fid", "chunk_id", "offset").join(f, "fid").join(per_chunk, ["fid", "chunk_id"], "left")
     block = block_index(F.col("offset"), F.col("num_stripes"), F.col("num_recovery"))
-    return rows.select("fid", block.alias("block"), "chunk_id", F.col("num_recovery").alias("m"), "num_replicas", F.coalesce("n", F.lit(0)).cast("long").alias("n"), sole("server_id").alias("sole_server"), sole("rack").alias("sole_rack"))
+    return per_chunk.join(f, "fid").select("fid", block.alias("block"), "chunk_id", F.col("num_recovery").alias("m"), "num_replicas", "n", sole("server_id").alias("sole_server"), sole("rack").alias("sole_rack"))
 
 
-def block_states(states: DataFrame) -> DataFrame:
-    """(fid, block, m, missing, by_server, by_rack): chunks without copies, and the most that one server or rack would take along."""
-    rows = states.repartition("fid")
-    base = rows.groupBy("fid", "block").agg(F.max("m").alias("m"), F.sum((F.col("n") == 0).cast("long")).alias("missing"), F.count(F.lit(1)).alias("chunks"))
+def _most(places: Column) -> Column:
+    """How often the most frequent of some values occurs; a block has a few chunks."""
+    times = F.transform(F.array_distinct(places), lambda d: F.size(F.filter(places, lambda x: x == d)))
+    return F.when(F.size(places) < 2, F.size(places)).otherwise(F.array_max(times)).cast("long")
 
-    def most(c: str, name: str) -> DataFrame:
-        held = rows.filter(F.col(c).isNotNull()).groupBy("fid", "block", c).agg(F.count(F.lit(1)).alias("held"))
-        return held.groupBy("fid", "block").agg(F.max("held").alias(name))
 
-    out = base.join(most("sole_server", "by_server"), ["fid", "block"], "left").join(most("sole_rack", "by_rack"), ["fid", "block"], "left")
-    return out.na.fill(0, ["by_server", "by_rack"])
+def block_states(states: DataFrame) -> DataFrame:
+    """(fid, block, m, missing, by_server, by_rack, ...): chunks without copies, the most that one
+    server or rack would take along, and sums over the block's chunks."""
+    n = F.col("n")
+    flags = {"missing": n == 0, "under": (n > 0) & (n < F.col("num_replicas")), "over": n > F.col("num_replicas")}
+    sums = [F.sum(c.cast("long")).alias(k) for k, c in flags.items()] + [F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("replicas")]
+    places = [F.collect_list(f"sole_{c}").alias(f"at_{c}") for c in ("server", "rack")]
+    rows = states.groupBy("fid", "block").agg(F.max("m").alias("m"), *sums, *places)
+    return rows.withColumns({"by_server": _most(F.col("at_server")), "by_rack": _most(F.col("at_rack"))}).drop("at_server", "at_rack")
 
 
 def file_states(files: DataFrame, blocks: DataFrame, now_us: int) -> DataFrame:
-    """(fid, state): the least number that applies."""
+    """(fid, state, ...): the least number that applies, and sums over the file's blocks."""
     over = lambda c: F.max((F.col("missing") + c > F.col("m")).cast("int"))
-    per_file = blocks.groupBy("fid").agg(over(F.lit(0)).alias("lost"), over(F.col("by_server")).alias("server"), over(F.col("by_rack")).alias("rack"))
+    partial = (F.col("m") > 0) & (F.col("missing") > 0) & (F.col("missing") <= F.col("m"))
+    sums = {"chunks": "chunks", "replicas": "replicas", "lost_chunks": "missing", "under_replicated": "under", "over_replicated": "over"}
+    per_file = blocks.groupBy("fid").agg(
+        over(F.lit(0)).alias("lost"), over(F.col("by_server")).alias("server"), over(F.col("by_rack")).alias("rack"),
+        F.count(F.lit(1)).alias("blocks"), F.sum(partial.cast("long")).alias("partial_recovery"), *[F.sum(c).alias(k) for k, c in sums.items()],
+    )
     abandoned = (F.col("size") == 0) & (F.col("chunk_count") > 0) & (F.col("mtime") + ABANDONED_S * 1_000_000 < now_us)
     state = F.when(F.col("lost") == 1, 1).when(F.col("server") == 1, 2).when(F.col("rack") == 1, 3).when(abandoned, 4).otherwise(5)
-    return files.filter("num_replicas > 0").join(per_file, "fid", "left").select("fid", state.alias("state"), "size", "chunk_count", "num_replicas", "num_stripes", "num_recovery")
-
-
-def fsck_summary(states: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(measure, value) of the whole store."""
-    long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    of_files = {"files": F.count(F.lit(1)), "striped": F.sum((F.col("num_stripes") > 0).cast("long")), "with_recovery": F.sum((F.col("num_recovery") > 0).cast("long"))}
-    of_files |= {name: F.sum((F.col("state") == n).cast("long")) for n, name in STATES.items()}
-    of_files |= {"max_size": F.max("size"), "max_chunks": F.max("chunk_count"), "max_replication": F.max("num_replicas"), "bytes": F.sum("size")}
-    of_chunks = {"chunks": F.count(F.lit(1)), "replicas": F.sum("n"), "lost_chunks": F.sum((F.col("n") == 0).cast("long"))}
-    of_chunks |= {"under_replicated": F.sum(((F.col("n") > 0) & (F.col("n") < F.col("num_replicas"))).cast("long")), "over_replicated": F.sum((F.col("n") > F.col("num_replicas")).cast("long"))}
-    of_blocks = {"blocks": F.count(F.lit(1)), "partial_recovery": F.sum(((F.col("m") > 0) & (F.col("missing") > 0) & (F.col("missing") <= F.col("m"))).cast("long"))}
-    parts = []
-    for df, sums in ((states, of_files), (chunks, of_chunks), (blocks, of_blocks)):
-        row = df.agg(*[long(v).alias(k) for k, v in sums.items()])
-        parts.append(row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in sums])).alias("x")).select("x.*"))
-    return reduce(DataFrame.union, parts)
+    rows = files.filter("num_replicas > 0").join(per_file, "fid", "left")
+    return rows.select("fid", state.alias("state"), "size", "chunk_count", "num_replicas", "num_stripes", "num_recovery", "blocks", "partial_recovery", *sums)
+
+
+def _unpivot(row: DataFrame, names) -> DataFrame:
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in names])).alias("x")).select("x.*")
+
+
+def fsck_summary(states: DataFrame) -> DataFrame:
+    """(measure, value) of the whole store, from the states of its files in one pass."""
+    one = lambda c: F.sum(c.cast("long"))
+    sums = {"files": F.count(F.lit(1)), "striped": one(F.col("num_stripes") > 0), "with_recovery": one(F.col("num_recovery") > 0)}
+    sums |= {name: one(F.col("state") == n) for n, name in STATES.items()}
+    sums |= {"max_size": F.max("size"), "max_chunks": F.max("chunk_count"), "max_replication": F.max("num_replicas"), "bytes": F.sum("size")}
+    sums |= {c: F.sum(c) for c in ("chunks", "replicas", "lost_chunks", "under_replicated", "over_replicated", "blocks", "partial_recovery")}
+    return _unpivot(states.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in sums.items()]), sums)
 
 
 def replica_check(states: DataFrame, files: DataFrame, chunks: DataFrame, replicas: DataFrame, servers: DataFrame) -> DataFrame:
@@ -88,7 +98,7 @@ def replica_check(states: DataFrame, files: DataFrame, chunks: DataFrame, replic
     parts = []
     for df, flags in ((rows, placed), (states, held)):
         row = df.agg(*[F.coalesce(F.sum(v.cast("long")), F.lit(0)).cast("long").alias(k) for k, v in flags.items()])
-        parts.append(row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in flags])).alias("x")).select("x.*"))
+        parts.append(_unpivot(row, flags))
     return parts[0].union(parts[1])
 
 

@@ -25,7 +25,7 @@ FROM files f LEFT JOIN pf2 USING (fid) WHERE num_replicas > 0)
 
 
 def _states(x: Lens):
-    states = ok.chunk_states(x.files, x.chunks, x.replicas, x.servers)
+    states = ok.chunk_states(x.files, x.chunks, x.replicas, x.places)
     return states, ok.block_states(states)
 
 
@@ -42,8 +42,7 @@ c AS (SELECT count(*) AS blocks, count(*) FILTER (m > 0 AND missing > 0 AND miss
 SELECT measure, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME measure VALUE value) UNION ALL SELECT measure, value FROM (UNPIVOT b ON COLUMNS(*) INTO NAME measure VALUE value)
 UNION ALL SELECT measure, value FROM (UNPIVOT c ON COLUMNS(*) INTO NAME measure VALUE value)""")
 def fsck_summary(x: Lens):
-    states, blocks = _states(x)
-    return ok.fsck_summary(ok.file_states(x.files, blocks, NOW_US), states, blocks)
+    return ok.fsck_summary(ok.file_states(x.files, _states(x)[1], NOW_US))
 
 
 @query(STATES_SQL + "SELECT fid, block, m, missing, missing <= m AS recoverable FROM bl")
@@ -59,7 +58,7 @@ SELECT 'same_node' AS measure, count(*) FILTER (a > 1 AND (ns = 0 OR b > 1)) AS
 UNION ALL SELECT 'same_rack', count(*) FILTER (a = 1 AND c > 1) FROM v UNION ALL SELECT 'missing', count(*) FILTER (n = 0) FROM st UNION ALL SELECT 'under', count(*) FILTER (n > 0 AND n < num_replicas) FROM st
 UNION ALL SELECT 'over', count(*) FILTER (n > num_replicas) FROM st UNION ALL SELECT 'chunks', count(*) FROM st""")
 def replica_check(x: Lens):
-    return ok.replica_check(_states(x)[0], x.files, x.chunks, x.replicas, x.servers)
+    return ok.replica_check(_states(x)[0], x.files, x.chunks, x.replicas, x.places)
 
 
 @query("SELECT chunk_id, k, server_id, version, v AS first_version FROM (SELECT *, first_value(version) OVER w AS v, first_value(size) OVER w AS s FROM replicas WINDOW w AS (PARTITION BY chunk_id ORDER BY k)) WHERE version <> v OR size <> s")
@@ -99,13 +98,13 @@ def objstore_lost(x: Lens):
 
 @query("SELECT host, port FROM servers WHERE server_id % 5 = 0 AND server_id % 7 = 0")
 def down_not_up(x: Lens):
-    s = x.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port")
+    s = x.places.select("server_id", "host", "port")
     return s.filter("server_id % 5 = 0").select("host", "port").subtract(s.filter("server_id % 7 <> 0").select("host", "port"))
 
 
 @query("SELECT host, port FROM servers WHERE server_id % 4 = 0 AND server_id % 7 <> 0")
 def retiring_up(x: Lens):
-    s = x.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port")
+    s = x.places.select("server_id", "host", "port")
     up = s.filter("server_id % 7 <> 0").select("host", "port")
     return s.filter("server_id % 4 = 0").select("host", "port").join(up, ["host", "port"], "left_semi")
 
@@ -114,24 +113,24 @@ def retiring_up(x: Lens):
 WHEN starts_with(host, 'Supplier#') THEN 3 ELSE -1 END::BIGINT AS rack FROM servers""")
 def rack_by_prefix(x: Lens):
     rules = x.spark.createDataFrame([(0, "Supplier#00000001?", 1), (1, "Supplier#0000000??", 2), (2, "Supplier#", 3)], "ord int, prefix string, rack long")
-    return ok.rack_by_prefix(x.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host"), rules)
+    return ok.rack_by_prefix(x.places.select("server_id", "host"), rules)
 
 
 @query("SELECT s.server_id, rack, count(chunk_id) AS chunks, used, total, used * 1000000 // total AS util FROM servers s LEFT JOIN replicas r USING (server_id) GROUP BY ALL")
 def server_usage(x: Lens):
-    return pl.usage(x.replicas, x.servers)
+    return pl.usage(x.replicas, x.places)
 
 
 @query(""", u AS (SELECT server_id, used * 1000000 // total AS util FROM servers), m AS (SELECT sum(util)::BIGINT // count(*) AS mean FROM u), t AS (SELECT u.*, greatest(0, mean - 2000) AS low, least(1000000, mean + 2000) AS high FROM u, m)
 SELECT server_id, util, low, high, CASE WHEN util > high THEN 'over' WHEN util < low THEN 'under' ELSE 'within' END AS side FROM t""")
 def rebalance_thresholds(x: Lens):
-    return pl.thresholds(pl.usage(x.replicas, x.servers), 4000)
+    return pl.thresholds(pl.usage(x.replicas, x.places), 4000)
 
 
 @query()
 def rebalance_plan(x: Lens):
     """Invariants are tested: takers stay under the mean, no rack or server gets a second copy, no copy is lost."""
-    return pl.plan_round(x.replicas, x.servers, 4000)
+    return pl.plan_round(x.replicas, x.places, 4000)
 
 
 @query("""SELECT count(*) AS servers, count(*) FILTER (server_id % 7 <> 0) AS up, count(*) FILTER (server_id % 7 = 0) AS down, count(*) FILTER (server_id % 4 = 0 AND server_id % 7 <> 0) AS retiring,
@@ -161,8 +160,8 @@ def rack_health(x: Lens):
 @query("""SELECT rack, '[' || string_agg('{"host":"' || host || '","port":' || port || ',"chunks":' || n || '}', ',' ORDER BY server_id) || ']' AS servers
 FROM (SELECT s.rack, s.host, s.port, s.server_id, count(chunk_id) AS n FROM servers s LEFT JOIN replicas USING (server_id) GROUP BY ALL) GROUP BY rack""")
 def query_chunkserverdirs(x: Lens):
-    s = x.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port")
-    rows = pl.usage(x.replicas, x.servers).join(s, "server_id")
+    s = x.places.select("server_id", "host", "port")
+    rows = pl.usage(x.replicas, x.places).join(s, "server_id")
     per = F.array_sort(F.collect_list(F.struct("server_id", "host", "port", "chunks")))
     slim = F.transform(F.col("all"), lambda r: F.struct(r["host"].alias("host"), r["port"].alias("port"), r["chunks"].alias("chunks")))
     return rows.groupBy("rack").agg(per.alias("all")).select("rack", F.to_json(slim).alias("servers"))

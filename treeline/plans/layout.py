@@ -23,7 +23,7 @@ def file_chunks(x: Lens):
 
 @query("SELECT chunk_id, k, host, port, rack, version FROM replicas JOIN servers USING (server_id)")
 def chunk_locations(x: Lens):
-    s = x.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port", "cast(s_nationkey % 9 AS bigint) AS rack")
+    s = x.places.drop("total")
     return x.replicas.join(s, "server_id").select("chunk_id", "k", "host", "port", "rack", "version")
 
 
@@ -50,7 +50,7 @@ FROM chunks c LEFT JOIN replicas r ON r.chunk_id = c.chunk_id LEFT JOIN servers
 def chunkmap_dump(x: Lens):
     from ..sources.chunkmap import dump
 
-    s = x.table("supplier").selectExpr("s_suppkey AS server_id", "s_name AS host", "30000 + s_suppkey AS port", "cast(s_nationkey % 9 AS bigint) AS rack")
+    s = x.places.drop("total")
     return dump(x.chunks, x.replicas, s)
 
 
