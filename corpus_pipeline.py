@@ -24,7 +24,7 @@ from treeline.llm.queries import VOCABULARY, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy keeps."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     return rules.ledger(rows, id_col="doc").filter(~rules.failed(rules.DEFAULT)).select("doc.*")
 
 

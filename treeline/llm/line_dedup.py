@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop, is_under, materialize, small_batches
 
@@ -151,5 +152,5 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fe
     drop(keys, again)
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
     rows = df.select(F.col(id_col).cast("long").alias("id"), rest.alias("row"), F.col(text_col).alias("t")).join(loses, "id", "left").select("row", "t", "gone")
-    row_type = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_rewrite, f"row {row_type}, kept string, n_lines long, n_dropped long")
+    out = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return rows.mapInArrow(_rewrite, out)
