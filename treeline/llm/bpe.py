@@ -195,13 +195,3 @@ def trie_walk(voc: Vocabulary, words: Iterable[str]):
         voc.extend(raw, states, last, counts)
         before = raw
         yield raw.decode(), voc.chain(last)
-
-
-_LOADED: dict[str, Vocabulary] = {}
-
-
-def vocabulary(path: str) -> Vocabulary:
-    """One copy for each file and worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPLIT, Memo, Vocabulary, trie_walk, vocabulary
-from .common import small_batches
+from .bpe import SPLIT, Memo, Vocabulary, trie_walk
+from .common import small_batches, tidy
 
 
 def little_endian(ids: array) -> bytes:
@@ -38,29 +38,37 @@ class Encoder:
         self.voc = voc
         self.memo = Memo(lambda w: next(iter(trie_walk(voc, [w])))[1].tobytes())
 
-    def learn(self, texts: list[str]) -> None:
-        """Walk the trie of the distinct words of ``texts`` that are not known."""
+    def split(self, text: str) -> list[tuple[int | None, list[str]]]:
+        """The words between special strings, and those strings' ids."""
+        return [(self.voc.special[part], []) if special else (None, SPLIT.findall(part)) for special, part in self.voc.sections(text)]
+
+    def learn(self, texts: list[list]) -> None:
+        """Walk the trie of the distinct words of split texts that are not known."""
         self.memo.room()
-        new = {w for text in texts for special, part in self.voc.sections(text) if not special for w in SPLIT.findall(part) if w not in self.memo}
+        new: set[str] = set()
+        for parts in texts:
+            for _, words in parts:
+                new.update(words)
+        new.difference_update(self.memo)
         again = {w: self.memo.old[w] for w in new if w in self.memo.old}
         self.memo.update(again)
         for word, ids in trie_walk(self.voc, new.difference(again)):
             self.memo[word] = ids.tobytes()
 
-    def encode(self, text: str) -> array:
+    def encode(self, parts: list) -> array:
         out = array("I")
-        for special, part in self.voc.sections(text):
-            if special:
-                out.append(self.voc.special[part])
+        for special, words in parts:
+            if special is not None:
+                out.append(special)
             else:
-                out.frombytes(b"".join(map(self.memo.__getitem__, SPLIT.findall(part))))
+                out.frombytes(b"".join(map(self.memo.__getitem__, words)))
         return out
 
     def decode(self, ids: array) -> str:
         return b"".join(map(self.voc.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _pieces(texts: list[str], most: int = 2_000_000):
+def _pieces(texts: list[str], most: int = 1_000_000):
     """Runs of texts of at most ``most`` characters together, or one longer text."""
     run, size = [], 0
     for t in texts:
@@ -79,13 +87,14 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches):
-        enc = Encoder(vocabulary(vocab_path))
+        enc = Encoder(Vocabulary(vocab_path))
         for b in batches:
             ids, decoded = [], []
             for texts in _pieces([t or "" for t in b.column(1).to_pylist()]):
-                enc.learn(texts)
-                for text in texts:
-                    x = enc.encode(text)
+                split = [enc.split(t) for t in texts]
+                enc.learn(split)
+                for parts in split:
+                    x = enc.encode(parts)
                     back = enc.decode(x)
                     ids.append((len(x), sha(little_endian(x))) if digests else x)
                     decoded.append(sha(back.encode()) if digests else back)
@@ -97,4 +106,4 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return own.mapInArrow(run, f"id long, {schema}").withColumnRenamed("id", id_col)
+    return own.mapInArrow(tidy(run), f"id long, {schema}").withColumnRenamed("id", id_col)

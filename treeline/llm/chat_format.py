@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, tidy
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _MARKED = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
@@ -112,7 +112,7 @@ def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
     chosen = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select("tree", "leaf")
     turns = steps.join(chosen, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     whole = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
-    out = whole.select("tree", "turns", "leaf").mapInArrow(_format, "tree long, leaf long, formatted string, loss_mask array<struct<start:int,end:int>>")
+    out = whole.select("tree", "turns", "leaf").mapInArrow(tidy(_format), "tree long, leaf long, formatted string, loss_mask array<struct<start:int,end:int>>")
     return out.withColumn("tree", F.when(F.col("tree") != NO_TREE, F.col("tree")))
 
 

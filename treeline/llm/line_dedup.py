@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, is_under, materialize, small_batches
+from .common import drop, is_under, materialize, small_batches, tidy
 
 #: ASCII letters to lower case; white space stripped at both ends (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
@@ -79,7 +79,7 @@ def _digests(batches):
 
 
 def _seen_here(batches):
-    """Each hash at most twice from a task, or from each million of its hashes."""
+    """Each hash at most twice from a task, or from each 250,000 of its hashes."""
     sent: dict[int, int] = {}
 
     def out():
@@ -90,7 +90,7 @@ def _seen_here(batches):
     for b in batches:
         for h in b.column(0).to_pylist():
             sent[h] = min(2, sent.get(h, 0) + 1)
-        if len(sent) > 1_000_000:
+        if len(sent) > 250_000:
             yield out()
     yield out()
 
@@ -140,10 +140,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fe
     spark = df.sparkSession
     small_batches(spark)
     pairs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    keys = materialize(pairs.mapInArrow(_digests, "id long, h1 long, h2 long"), "line-keys")
+    keys = materialize(pairs.mapInArrow(tidy(_digests), "id long, h1 long, h2 long"), "line-keys")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // PER_FILTER + 1)
-    sent = keys.select("h1").mapInArrow(_seen_here, "h1 long").repartition(tasks, "h1")
-    suspects = materialize(sent.mapInArrow(_suspects, "h1 long"), "line-suspects").distinct()
+    sent = keys.select("h1").mapInArrow(tidy(_seen_here), "h1 long").repartition(tasks, "h1")
+    suspects = materialize(sent.mapInArrow(tidy(_suspects), "h1 long"), "line-suspects").distinct()
     few = is_under(suspects, BROADCAST_ROWS)
     again = materialize(keys.join(F.broadcast(suspects) if few else suspects, "h1"), "line-repeats")
     counted = again.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= fewest)
@@ -153,4 +153,4 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fe
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
     rows = df.select(F.col(id_col).cast("long").alias("id"), rest.alias("row"), F.col(text_col).alias("t")).join(loses, "id", "left").select("row", "t", "gone")
     out = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return rows.mapInArrow(_rewrite, out)
+    return rows.mapInArrow(tidy(_rewrite), out)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import drop, is_under, materialize, small_batches
+from .common import drop, is_under, materialize, small_batches, tidy
 from .components import components
 
 CHUNKS, WIDTH, ERRORS, BITS = 11, 5, 1, 16
@@ -200,10 +200,10 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs that are links: first by signature, then by the full sets."""
-    near = materialize(_with_both(pairs, reps, "sig").mapInArrow(_near, "a long, b long"), "near")
+    near = materialize(_with_both(pairs, reps, "sig").mapInArrow(tidy(_near), "a long, b long"), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_only(docs, ids).mapInArrow(_sets(size), "id long, set binary"), "sets")
-    links = materialize(_with_both(near, sets, "set").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    sets = materialize(_only(docs, ids).mapInArrow(tidy(_sets(size)), "id long, set binary"), "sets")
+    links = materialize(_with_both(near, sets, "set").mapInArrow(tidy(_confirm(percent)), "a long, b long"), "links")
     drop(near, sets)
     return links
 
@@ -214,9 +214,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows = materialize(docs.mapInArrow(_profiles(size), "id long, n long, d1 long, d2 long, sig binary"), "profiles")
+    rows = materialize(docs.mapInArrow(tidy(_profiles(size)), "id long, n long, d1 long, d2 long, sig binary"), "profiles")
     reps = materialize(rows.filter("sig is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
-    keys = materialize(reps.select("id", "sig").mapInArrow(_index, "key long, id long"), "index")
+    keys = materialize(reps.select("id", "sig").mapInArrow(tidy(_index), "key long, id long"), "index")
     ends = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(keys.join(ends, "key"), "buckets")
     drop(keys)
@@ -232,7 +232,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = materialize(placed.join(mixed.select("key", "main"), "key"), "open-buckets")
     bits = [f"b{i}" for i in range(PARITY)]
     schema = "id long, n long, " + ", ".join(f"{c} long" for c in bits)
-    maps = materialize(_only(docs, placed.select("id").distinct()).mapInArrow(_parities(size), schema), "parities")
+    maps = materialize(_only(docs, placed.select("id").distinct()).mapInArrow(tidy(_parities(size)), schema), "parities")
     placed = placed.join(maps, "id")
     others = placed.filter("root <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", *bits)])
     differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in bits])

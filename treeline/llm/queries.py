@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as decon
 from . import chat_format, pii, quality_rules, secret_scan, warc
 from .bpe_codec import encode_decode
-from .common import new_path
+from .common import new_path, tidy
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .token_counts import token_counts
@@ -71,7 +71,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
     out = chat_format.format_trees(chat_format.from_turns(rows)).select("tree", "formatted", "loss_mask")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return out.mapInArrow(_digest_chats, schema)
+    return out.mapInArrow(tidy(_digest_chats), schema)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPLIT, Memo, Vocabulary, vocabulary
-from .common import small_batches
+from .bpe import SPLIT, Memo, Vocabulary
+from .common import small_batches, tidy
 
 SCHEMA = "n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 
@@ -126,7 +126,7 @@ def prefix_table(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     small_batches(df.sparkSession)
 
     def run(batches):
-        counter = TextCounts(vocabulary(vocab_path))
+        counter = TextCounts(Vocabulary(vocab_path))
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -135,7 +135,7 @@ def prefix_table(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["id", "prefix_tokens"])
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(run, "id long, prefix_tokens array<int>").withColumnRenamed("id", id_col)
+    return own.mapInArrow(tidy(run), "id long, prefix_tokens array<int>").withColumnRenamed("id", id_col)
 
 
 def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str =
     small_batches(df.sparkSession)
 
     def run(batches):
-        counter = TextCounts(vocabulary(vocab_path))
+        counter = TextCounts(Vocabulary(vocab_path))
         for b in batches:
             n_bytes, n_tokens, fits = [], [], []
             for text in b.column(1).to_pylist():
@@ -164,4 +164,4 @@ def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str =
             )
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(run, f"id long, {SCHEMA}").withColumnRenamed("id", id_col)
+    return own.mapInArrow(tidy(run), f"id long, {SCHEMA}").withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -128,7 +128,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
     """Headers of all records, each response's size (and bytes), verified by its digest."""
     small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_read(with_payload), HEADERS + (", payload binary" if with_payload else ""))
+    return files.mapInArrow(tidy(_read(with_payload)), HEADERS + (", payload binary" if with_payload else ""))
 
 
 def reconstruct(archive: DataFrame) -> DataFrame:
