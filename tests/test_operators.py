@@ -86,6 +86,13 @@ def test_chunk_map_round_trip(lens, spark, tmp_path):
     assert sorted(map(tuple, back.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_repeated_requests_do_not_renew_the_window(spark):
+    minute = 60_000_000
+    rows = [(i, "create", 1, 7, 5 * i * minute) for i in range(12)] + [(20, "remove", 1, 7, minute), (21, "create", 1, -1, 0), (22, "create", 1, -1, 1), (23, "create", None, 7, 0), (24, "create", None, 7, 1)]
+    out = oplog.dedup_requests(spark.createDataFrame(rows, "seq long, op string, uid long, rid long, us long"), 6 * minute)
+    assert sorted(r.seq for r in out.collect()) == [0, 2, 4, 6, 8, 10, 20, 21, 22, 23, 24]
+
+
 def test_fold(spark):
     rows = [(1, "create", 1, 0, 10), (2, "truncate", 1, 7, 20), (3, "remove", 2, 0, 30), (4, "create", 2, 0, 40), (5, "setmtime", 1, 0, 50), (6, "remove", 1, 0, 60), (7, "create", 1, 0, 70), (8, "truncate", 3, 5, 80)]
     out = oplog.fold(spark.createDataFrame(rows, "seq long, op string, fid long, arg long, us long"))

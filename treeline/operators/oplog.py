@@ -6,6 +6,9 @@ file, what its last committed operations leave.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +30,37 @@ def segment_gaps(segments: DataFrame) -> DataFrame:
     return rows.select("segment", "start", "expected", F.when(F.col("start") > F.col("expected"), "gap").otherwise("overlap").alias("problem"))
 
 
-def dedup_requests(requests: DataFrame, window_us: int) -> DataFrame:
-    """First of each (uid, rid) and of each that comes later than the window after the one before it."""
+def first_of_bursts(requests: DataFrame, window_us: int) -> DataFrame:
+    """First of each (uid, rid) and of each that comes later than the window after the one before it, kept or not."""
     w = Window.partitionBy("uid", "rid").orderBy("us", "seq")
     before = F.lag("us").over(w)
     return requests.withColumn("before", before).filter(F.col("before").isNull() | (F.col("us") - F.col("before") > window_us)).drop("before")
 
 
+def dedup_requests(requests: DataFrame, window_us: int, key: tuple[str, ...] = ("op", "uid", "rid")) -> DataFrame:
+    """Requests that are no repeats: of each key the first, then each that comes later than the window after the last one kept.
+
+    A repeat does not renew the window, which runs from the time of the recorded request.  Requests without a user
+    or with no or a negative id are not tracked and stay.  A partition's rows are read in order of key and time, and
+    only the last key and time are remembered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, since = None, 0
+        for b in batches:
+            fresh = []
+            keys = zip(*(b.column(c).to_pylist() for c in key), strict=True)
+            for k, us, uid, rid in zip(keys, *(b.column(c).to_pylist() for c in ("us", "uid", "rid")), strict=True):
+                tracked = uid is not None and rid is not None and rid >= 0
+                new = not tracked or k != last or us - since > window_us
+                if new and tracked:
+                    last, since = k, us
+                fresh.append(new)
+            yield b.filter(pa.array(fresh, pa.bool_()))
+
+    return requests.repartition(*key).sortWithinPartitions(*key, "us", "seq").mapInArrow(run, requests.schema)
+
+
 def fold(ops: DataFrame) -> DataFrame:
     """(fid, exists, size, mtime, n): the state of each file after its operations (seq, op, fid, arg, us).
 

@@ -24,8 +24,19 @@ def segment_gaps(x: Lens):
 
 @query(f""", r AS (SELECT *, lag(us) OVER (PARTITION BY uid % 3, seq // 40 ORDER BY us, seq) AS b FROM oplog) SELECT seq, uid % 3 AS uid, seq // 40 AS rid FROM r WHERE b IS NULL OR us - b > {DEDUP_S}000000""")
 def dedup_requests(x: Lens):
+    """As its SQL has it: a repeat renews the window.  ``dedup_requests_expiring`` does as the store does."""
     r = x.oplog.select("seq", (F.col("uid") % 3).alias("uid"), F.expr("seq div 40").alias("rid"), "us")
-    return log.dedup_requests(r, DEDUP_S * 1_000_000).select("seq", "uid", "rid")
+    return log.first_of_bursts(r, DEDUP_S * 1_000_000).select("seq", "uid", "rid")
+
+
+@query(f""", r AS (SELECT seq, us, op, uid % 3 AS uid, seq // 40 AS rid FROM oplog),
+k AS (SELECT op, uid, rid, min({{'us': us, 'seq': seq}}) AS m FROM r GROUP BY ALL
+  UNION ALL SELECT k.op, k.uid, k.rid, min({{'us': r.us, 'seq': r.seq}}) FROM k JOIN r ON r.op = k.op AND r.uid = k.uid AND r.rid = k.rid AND r.us - k.m.us > {DEDUP_S}000000 GROUP BY ALL)
+SELECT m.seq AS seq, op, uid, rid FROM k""")
+def dedup_requests_expiring(x: Lens):
+    """Each operation has a table of its own, and a request expires at a fixed time after it was recorded."""
+    r = x.oplog.select("seq", "op", (F.col("uid") % 3).alias("uid"), F.expr("seq div 40").alias("rid"), "us")
+    return log.dedup_requests(r, DEDUP_S * 1_000_000).select("seq", "op", "uid", "rid")
 
 
 @query(""", o AS (SELECT seq, op, fid % 500 AS fid, arg, us FROM oplog WHERE committed),
