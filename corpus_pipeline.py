@@ -36,8 +36,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group, linked at a similarity of 0.8 or more: that with the smallest id."""
+    gone = near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

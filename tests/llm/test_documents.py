@@ -131,6 +131,18 @@ def test_signatures_within_the_threshold_share_a_key():
     assert (minhash.index_keys(a) == minhash.index_keys(b)).any(axis=1).all()
 
 
+def test_each_scheme_shares_a_key_within_its_distance():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for how in minhash.SCHEMES.values():
+        a = rng.integers(0, 1 << 16, (300, how.symbols)).astype("<u2")
+        b = a.copy()
+        for row in b:
+            row[rng.choice(how.symbols, how.distance, replace=False)] ^= 1
+        assert (minhash.index_keys(a, how) == minhash.index_keys(b, how)).any(axis=1).all()
+
+
 def test_parity_never_exceeds_the_difference():
     import numpy as np
 

@@ -41,3 +41,15 @@ def test_odd_rows(spark, name, stage):
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_no_rows(spark, name, stage):
     assert stage(spark, table(spark, []), SF).count() == 0
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    """Pairs of similarity 0.8, 0.82 and 0.79: texts of n + 4 words whose last k differ share n - k shingles of n + k."""
+    rows = []
+    for g in range(20):
+        for part, (n, k) in enumerate([(90, 10), (100, 10), (100, 12)]):
+            words = [f"g{g}p{part}w{i}" for i in range(n + 4)]
+            rows += [(100 * g + 10 * part, " ".join(words)), (100 * g + 10 * part + 1, " ".join(words[:-k] + [w + "x" for w in words[-k:]]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()}
+    assert {i for i, _ in rows} - left == {100 * g + 10 * part + 1 for g in range(20) for part in (0, 1)}

@@ -1,10 +1,10 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document is the set of its word shingles.  Documents of equal sets are one
-class, and only its representative goes on.  Its signature is a row of
-``SYMBOLS`` b-bit minhashes, cut into ``CHUNKS`` chunks.  Two signatures that
-differ in fewer than ``CHUNKS * (ERRORS + 1)`` symbols differ in at most
-``ERRORS`` symbols of some chunk (pigeonhole), so each chunk is indexed once for
+class, and only its representative goes on.  Its signature is a row of b-bit
+minhashes, cut into chunks as the ``Scheme`` of the percent has it.  Two signatures
+that differ in fewer than ``chunks * (errors + 1)`` symbols differ in at most
+``errors`` symbols of some chunk (pigeonhole), so each chunk is indexed once for
 every choice of the symbols that may be wrong: equal keys then find every pair
 within the threshold.  Pairs over the threshold are dropped, the others are
 confirmed on the full sets.
@@ -19,7 +19,8 @@ are tested too, so no link between components is lost.
 
 With 55 symbols in 11 chunks of 5 and one error, pairs that differ in at most 21
 symbols are found.  At a similarity of 0.85 the chance of more is about 1e-6, and
-it falls steeply above.
+it falls steeply above.  Under 85 percent, there are 48 symbols in 12 chunks of 4,
+of which 23 may differ; at 0.80 the chance of more is 3.3e-6.
 
 Edge cases: a null or empty text, or one of white space, has no shingles, is
 linked with nothing and kept.  Rows sharing an id are one node of the graph.  A
@@ -34,6 +35,7 @@ import hashlib
 from functools import reduce
 from itertools import combinations
 from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +47,34 @@ from .bpe import Memo
 from .common import drop, is_under, materialize, small_batches, tidy
 from .components import components
 
-CHUNKS, WIDTH, ERRORS, BITS = 11, 5, 1, 16
-SYMBOLS = CHUNKS * WIDTH
-#: Signatures may differ in so many symbols.
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+BITS = 16
+
+
+class Scheme(NamedTuple):
+    """How signatures are cut and indexed."""
+
+    chunks: int
+    width: int
+    errors: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def distance(self) -> int:
+        """Signatures may differ in so many symbols."""
+        return self.chunks * (self.errors + 1) - 1
+
+    @property
+    def combos(self) -> list[tuple[int, tuple[int, ...]]]:
+        return [(c, keep) for c in range(self.chunks) for keep in combinations(range(self.width), self.width - self.errors)]
+
+
+#: By the least percent that each is for.
+SCHEMES = {85: Scheme(11, 5, 1), 80: Scheme(12, 4, 1)}
+CLOSE = SCHEMES[85]
+SYMBOLS, DISTANCE = CLOSE.symbols, CLOSE.distance
 #: Longs of a parity bitmap.
 PARITY = 16
 #: Ids of documents whose sets are needed are broadcast up to so many rows of 8 bytes.
@@ -58,7 +84,10 @@ _RANDOM = np.random.default_rng(20240607)
 _FACTORS = _RANDOM.integers(1 << 62, size=SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(1 << 63, size=SYMBOLS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_COMBOS = [(c, keep) for c in range(CHUNKS) for keep in combinations(range(WIDTH), WIDTH - ERRORS)]
+
+
+def scheme(percent: int) -> Scheme:
+    return next((s for least, s in SCHEMES.items() if percent >= least), SCHEMES[80])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,18 +114,18 @@ def shingle_set(text: str | None, size: int, memo: Memo) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    least = np.full(symbols, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[at : at + 4096, None] * _FACTORS + _TERMS).min(axis=0))
+        least = np.minimum(least, (shingles[at : at + 4096, None] * _FACTORS[:symbols] + _TERMS[:symbols]).min(axis=0))
     return (_mixed(least) >> np.uint64(64 - BITS)).astype("<u2")
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
+def index_keys(signatures: np.ndarray, how: Scheme = CLOSE) -> np.ndarray:
     """One column of 64-bit keys for each chunk and each choice of symbols that must agree."""
-    s = signatures.astype(np.uint64).reshape(-1, CHUNKS, WIDTH)
+    s = signatures.astype(np.uint64).reshape(-1, how.chunks, how.width)
     keys = []
-    for i, (c, keep) in enumerate(_COMBOS):
+    for i, (c, keep) in enumerate(how.combos):
         x = np.full(len(s), i + 1, np.uint64)
         for k in keep:
             x = _mixed(x * _STEP + s[:, c, k])
@@ -108,7 +137,7 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _profiles(size: int):
+def _profiles(size: int, how: Scheme):
     def run(batches):
         memo = word_memo()
         for b in batches:
@@ -119,7 +148,7 @@ def _profiles(size: int):
                 n.append(len(s))
                 if len(s) and doc is not None:
                     halves.append(tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist()))
-                    sigs.append(signature(s).tobytes())
+                    sigs.append(signature(s, how.symbols).tobytes())
                 else:  # no class: ids of their own, so that they do not meet in one task
                     halves.append((doc, None))
                     sigs.append(None)
@@ -129,21 +158,28 @@ def _profiles(size: int):
     return run
 
 
-def _index(batches):
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        if len(ids):
-            keys = index_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS))
-            yield pa.record_batch([_longs(keys.ravel()), pa.array(np.repeat(ids, len(_COMBOS)))], ["key", "id"])
+def _index(how: Scheme):
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            if len(ids):
+                keys = index_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, how.symbols), how)
+                yield pa.record_batch([_longs(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], ["key", "id"])
 
+    return run
 
-def _near(batches):
+
+def _near(how: Scheme):
     """Pairs whose signatures are within the threshold."""
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, SYMBOLS) for i in (2, 3))
-            ok = pa.array((x != y).sum(axis=1) <= DISTANCE)
-            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, how.symbols) for i in (2, 3))
+                ok = pa.array((x != y).sum(axis=1) <= how.distance)
+                yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    return run
 
 
 def _sets(size: int):
@@ -200,7 +236,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs that are links: first by signature, then by the full sets."""
-    near = materialize(_with_both(pairs, reps, "sig").mapInArrow(tidy(_near), "a long, b long"), "near")
+    near = materialize(_with_both(pairs, reps, "sig").mapInArrow(tidy(_near(scheme(percent))), "a long, b long"), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(_only(docs, ids).mapInArrow(tidy(_sets(size)), "id long, set binary"), "sets")
     links = materialize(_with_both(near, sets, "set").mapInArrow(tidy(_confirm(percent)), "a long, b long"), "links")
@@ -211,12 +247,12 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; links are pairs with
     100 * intersection >= percent * union of their shingle sets."""
-    spark = df.sparkSession
+    spark, how = df.sparkSession, scheme(percent)
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows = materialize(docs.mapInArrow(tidy(_profiles(size)), "id long, n long, d1 long, d2 long, sig binary"), "profiles")
+    rows = materialize(docs.mapInArrow(tidy(_profiles(size, how)), "id long, n long, d1 long, d2 long, sig binary"), "profiles")
     reps = materialize(rows.filter("sig is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
-    keys = materialize(reps.select("id", "sig").mapInArrow(tidy(_index), "key long, id long"), "index")
+    keys = materialize(reps.select("id", "sig").mapInArrow(tidy(_index(how)), "key long, id long"), "index")
     ends = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(keys.join(ends, "key"), "buckets")
     drop(keys)
