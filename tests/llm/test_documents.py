@@ -143,6 +143,16 @@ def test_each_scheme_shares_a_key_within_its_distance():
         assert (minhash.index_keys(a, how) == minhash.index_keys(b, how)).any(axis=1).all()
 
 
+def test_signatures_are_sized_for_the_percent(spark):
+    from math import comb
+
+    for percent in range(80, 101):
+        how, p = minhash.scheme(percent), percent / 100
+        assert sum(comb(how.symbols, k) * (1 - p) ** k * p ** (how.symbols - k) for k in range(how.distance + 1, how.symbols + 1)) < 1e-5
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(table(spark, [(1, "a")]), percent=79)
+
+
 def test_parity_never_exceeds_the_difference():
     import numpy as np
 

@@ -18,9 +18,10 @@ rules out nearly all that are no links before a row is made of them.  The rest
 are tested too, so no link between components is lost.
 
 With 55 symbols in 11 chunks of 5 and one error, pairs that differ in at most 21
-symbols are found.  At a similarity of 0.85 the chance of more is about 1e-6, and
+symbols are found.  At a similarity of 0.85 the chance of more is about 6e-6, and
 it falls steeply above.  Under 85 percent, there are 48 symbols in 12 chunks of 4,
 of which 23 may differ; at 0.80 the chance of more is 3.3e-6.
+A percent under 80 is refused.
 
 Edge cases: a null or empty text, or one of white space, has no shingles, is
 linked with nothing and kept.  Rows sharing an id are one node of the graph.  A
@@ -87,7 +88,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scheme(percent: int) -> Scheme:
-    return next((s for least, s in SCHEMES.items() if percent >= least), SCHEMES[80])
+    """That of the greatest percent up to this one; it loses a link at its percent with a chance under 1e-5."""
+    for least in sorted(SCHEMES, reverse=True):
+        if percent >= least:
+            return SCHEMES[least]
+    raise ValueError(f"percent {percent}: signatures are sized for {min(SCHEMES)} or more")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
