@@ -68,7 +68,7 @@ def test_bloom_has_no_false_negatives():
 # --- near duplicates
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
@@ -81,7 +81,7 @@ def brute_components(rows):
         return x
 
     for a, b in combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
@@ -175,7 +175,7 @@ def test_components_of_a_chain(spark):
 
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
-    w, hit, found = words(text), set(), set()
+    w, hit, whole, found = words(text), set(), set(), set()
     for i, t in items:
         v = words(t)
         n = min(13, len(v))
@@ -183,8 +183,9 @@ def brute_hits(text, items):
         for k in range(len(w) - n + 1):
             if tuple(w[k : k + n]) in windows:
                 hit |= set(range(k, k + n))
+                whole |= set(range(k, k + n)) if n == 13 else set()
                 found.add(str(i))
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), len(whole), sorted(found)
 
 
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (2, "Short item"), (3, "x"), (10, "alpha beta gamma delta"), (4, ""), (5, None), (None, "null id here"), (6, "a a a a a a a a a a a a a a a"), (2, "Short item"), (7, "Ünï cödé wörds hére")]
@@ -199,10 +200,27 @@ def test_decontaminate(spark, sample):
     assert sorted(map(repr, map(tuple, out))) == sorted(repr((i, *brute_hits(t, items))) for i, t in rows)
 
 
+def test_long_items_and_common_words(spark):
+    """Slices at both ends of an item, windows that overlap, and a one-word item that a text is full of; nothing broadcast or all."""
+    import random
+
+    r = random.Random(11)
+    long = [r.choice(["p", "q", "r"]) + str(r.randrange(40)) for _ in range(700)]
+    items = [("a", " ".join(long)), ("b", "w"), ("c", " ".join(long[100:160])), ("d", " ".join(long[300:313]))]
+    cuts = [(0, 13), (0, 12), (5, 40), (687, 700), (690, 700), (100, 160), (299, 314), (301, 313)]
+    rows = [(i, " ".join(["x", *long[a:b], "y"])) for i, (a, b) in enumerate(cuts)] + [(90, "w " * 5000), (91, " ".join(long)), (92, " ".join(long[:20] + ["z"] + long[20:33]))]
+    for limits in ((decon.BROADCAST_ROWS, decon.BROADCAST_BYTES), (0, 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decon, "BROADCAST_ROWS", limits[0])
+            m.setattr(decon, "BROADCAST_BYTES", limits[1])
+            out = decon.decontaminate(table(spark, rows), spark.createDataFrame(items, "item_id string, text string")).collect()
+        assert sorted(map(repr, map(tuple, out))) == sorted(repr((i, *brute_hits(t, items))) for i, t in rows)
+
+
 def test_decontaminate_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decon.decontaminate(table(spark, []), bench).count() == 0
-    assert [tuple(r) for r in decon.decontaminate(table(spark, [(1, "some words")]), bench).collect()] == [(1, 2, 0, [])]
+    assert [tuple(r) for r in decon.decontaminate(table(spark, [(1, "some words")]), bench).collect()] == [(1, 2, 0, 0, [])]
 
 
 # --- quality

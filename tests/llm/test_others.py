@@ -176,16 +176,17 @@ def test_pipeline(spark, tmp_path):
 
     left = [(i, t) for i, t, *_ in rows if t and len(t.split()) >= 20 and 100 * brute_repeats(t) <= 30 * len(t.split())]
     left = [(i, t) for i, _, _, t in brute_lines(left)]
-    near = brute_components(left)
+    near = brute_components(left, 80)
     left = [(i, t) for i, t in left if near[i][2]]
     for i, t in list(left):
-        n, hit, _ = brute_hits(t, ITEMS[:2] + ITEMS[3:4])
-        if hit and 20 * hit >= n:
+        n, hit, whole, _ = brute_hits(t, ITEMS[:2] + ITEMS[3:4])
+        if whole or (hit and 20 * hit >= n):
             left.remove((i, t))
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: (len(e.ids), e.ids, t) for i, t in left for e in [lib.encode(t, add_special_tokens=False)]}
     assert got == want
     assert 0 < len(want) < len(rows)
+    assert not {i for i, t, *_ in rows if t and item in t} & set(want)
 
 
 def test_stages_keep_the_columns(spark):

@@ -11,6 +11,7 @@ LONG = "\n".join(f"line {i} of a very long document goes on with words {i * 7} a
 ROWS = [
     (1, LONG, "en", "s", 1), (2, LONG, None, None, None), (2, LONG, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0),
     (None, LONG[:3000], "en", "s", 5), (5, " \n\t", "en", "s", 3), (6, "few words", "en", "s", 9), (7, " ".join(f"own{i}" for i in range(50)), "en", None, 9),
+    (8, " ".join(f"two{i}" for i in range(50)), "en", "b", 9), (8, " ".join(f"two{i}" for i in range(50)), "en", "a", 9),
 ]
 
 
@@ -21,11 +22,11 @@ def table(spark, rows):
 
 #: Rows left of ROWS, by their ids, as each docstring has it.  The long text repeats windows of eight words.
 LEFT = {
-    "quality_rules": [7],
-    "line_dedup": [1, 2, 2, 3, 4, 5, 6, 7, None],
-    "minhash_near_dedup": [1, 3, 4, 5, 6, 7, None],
-    "benchmark_decontamination": [1, 2, 2, 3, 4, 5, 6, 7, None],
-    "bpe_encoding": [1, 2, 2, 3, 4, 5, 6, 7, None],
+    "quality_rules": [7, 8, 8],
+    "line_dedup": [1, 2, 2, 3, 4, 5, 6, 7, 8, 8, None],
+    "minhash_near_dedup": [1, 3, 4, 5, 6, 7, 8, None],
+    "benchmark_decontamination": [1, 2, 2, 3, 4, 5, 6, 7, 8, 8, None],
+    "bpe_encoding": [1, 2, 2, 3, 4, 5, 6, 7, 8, 8, None],
 }
 
 
