@@ -111,6 +111,45 @@ def test_near_duplicates(spark, sample):
     assert len({v[1] for v in out.values()}) < len(out)
 
 
+def test_pairs_at_the_threshold(spark):
+    """300 pairs of similarity 0.85 are all linked, and 300 just under it are not."""
+    rows = []
+    for g in range(600):
+        n, k = (37, 3) if g % 2 else (37, 4)
+        w = [f"g{g}w{i}" for i in range(n + 4)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:-k] + [x + "x" for x in w[-k:]]))]
+    out = minhash.near_duplicates(table(spark, rows)).filter("not kept").collect()
+    assert {r.doc_id for r in out} == {2 * g + 1 for g in range(1, 600, 2)}
+
+
+@pytest.mark.parametrize("percent,block", [(80, 1000), (85, 7)])
+def test_open_pairs_lose_no_link(spark, percent, block):
+    """Sets that share a passage, in families: all links between different roots come out, by blocks too."""
+    import random
+
+    r = random.Random(percent)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for _ in range(25):
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        for _ in range(r.randint(1, 6)):
+            w = passage + own
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    schema = "id long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in minhash.BITMAP)
+    sets = docs.mapInArrow(minhash._open_sets(5), schema)
+    opened = docs.select("id", F.expr("id div 2").alias("root"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(minhash, "BLOCK", block)
+        got = [tuple(x) for x in minhash.open_pairs(opened, sets, percent).collect()]
+    memo = minhash.word_memo()
+    s = [set(minhash.shingle_set(t, 5, memo).tolist()) for t in texts]
+    links = {(a, b) for a, b in combinations(range(len(s)), 2) if a // 2 != b // 2 and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])}
+    assert links <= set(got) and len(got) == len(set(got)) and 0 < len(links)
+    assert len(got) < len(s) * len(s) / 8
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(map(str, range(50)))
     rows = [(1, long), (1, long), (2, long.replace(" ", "\n")), (None, long), (3, None), (4, ""), (5, "few words"), (6, "FEW words"), (7, " ")]

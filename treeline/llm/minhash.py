@@ -12,10 +12,11 @@ confirmed on the full sets.
 Buckets are never expanded into all pairs.  Each row of a bucket is first paired
 with the bucket's least and greatest representative; components are formed of
 the confirmed links.  What is left are pairs of one bucket that lie in different
-components.  Each set has a parity bitmap, in which every shingle flips one bit;
-two bitmaps differ in at most as many bits as the sets differ in shingles, which
-rules out nearly all that are no links before a row is made of them.  The rest
-are tested too, so no link between components is lost.
+components.  Their documents meet once more by their rarest shingles (prefix
+filter), in blocks of a bounded size.  Each set has a parity bitmap, in which
+every shingle flips one bit; two bitmaps differ in at most as many bits as the
+sets differ in shingles, which rules out most that are no links before a row is
+made of them.  The rest are tested too, so no link between components is lost.
 
 With 55 symbols in 11 chunks of 5 and one error, pairs that differ in at most 21
 symbols are found.  At a similarity of 0.85 the chance of more is about 6e-6, and
@@ -78,6 +79,9 @@ CLOSE = SCHEMES[85]
 SYMBOLS, DISTANCE = CLOSE.symbols, CLOSE.distance
 #: Longs of a parity bitmap.
 PARITY = 16
+BITMAP = [f"b{i}" for i in range(PARITY)]
+#: Groups of a rare shingle of more rows are dealt in blocks of so many by so many.
+BLOCK = 1000
 #: Ids of documents whose sets are needed are broadcast up to so many rows of 8 bytes.
 BROADCAST_ROWS = 1_000_000
 
@@ -202,13 +206,17 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def _parities(size: int):
+def _open_sets(size: int):
+    """Sets of documents, with their parity bitmaps."""
+
     def run(batches):
         memo = word_memo()
         for b in batches:
             sets = [shingle_set(t, size, memo) for t in b.column(1).to_pylist()]
             bits = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, PARITY), np.int64)
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["id", "n", *(f"b{i}" for i in range(PARITY))])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate([np.zeros(0, np.uint64), *sets])))
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), tokens, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["id", "n", "tokens", *BITMAP])
 
     return run
 
@@ -249,6 +257,35 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     return links
 
 
+def open_pairs(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``opened`` (id, root): all pairs of different roots that can be links, each once.
+
+    Linked sets share one of the rarest shingles of both, of as many as a set may miss and one (prefix
+    filter).  Shingles are ranked by how many of the open sets hold them; one that no other holds is in
+    no pair.  So what many texts share brings no two of them together.  A shingle's rows of different
+    roots meet in blocks of a bounded size, where parity bitmaps rule out most of what is left.
+    """
+    tokens = sets.select("id", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    ranked = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    need = F.ceil(F.col("n") * percent / 100) if percent % 100 else F.col("n")
+    most = F.col("n") - need + 1 - (F.col("n") - F.size("shared"))
+    prefix = ranked.join(sets.select("id", "n"), "id").filter(most > 0).select("id", F.explode(F.slice("shared", F.lit(1), most.cast("int"))).alias("x"))
+    prefix = materialize(prefix.select("id", F.col("x.token").alias("token")).join(opened, "id"), "open-prefixes")
+    groups = prefix.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by("root", "id").alias("main"), F.count(F.lit(1)).alias("rows"))
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    rows = prefix.join(groups.filter("least < most").select("token", "main", blocks.alias("blocks")), "token").join(sets.drop("tokens"), "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = rows.select("token", F.col("own").alias("p"), every.alias("q"), "id", "root", "n", *BITMAP)
+    two = rows.filter("root <> main").select(F.col("token").alias("t2"), every.alias("p2"), F.col("own").alias("q2"), *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", *BITMAP)])
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in BITMAP])
+    can = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("o_n"))
+    met = (F.col("token") == F.col("t2")) & (F.col("p") == F.col("p2")) & (F.col("q") == F.col("q2"))
+    out = one.join(two, met & (F.col("root") != F.col("o_root")) & can)
+    return out.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; links are pairs with
     100 * intersection >= percent * union of their shingle sets."""
@@ -268,22 +305,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Pairs of one bucket that the stars have not tested and the links do not connect.
     root = F.coalesce(F.col("root"), F.col("id"))
-    placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "lo", root.alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("id") == F.col("lo"), F.col("root"))).alias("main")).filter("least < most")
-    placed = materialize(placed.join(mixed.select("key", "main"), "key"), "open-buckets")
-    bits = [f"b{i}" for i in range(PARITY)]
-    schema = "id long, n long, " + ", ".join(f"{c} long" for c in bits)
-    maps = materialize(_only(docs, placed.select("id").distinct()).mapInArrow(tidy(_parities(size)), schema), "parities")
-    placed = placed.join(maps, "id")
-    others = placed.filter("root <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", *bits)])
-    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in bits])
-    near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("o_n"))
-    left = placed.withColumnRenamed("key", "k2").join(others, (F.col("k2") == F.col("key")) & (F.col("root") != F.col("o_root")) & near)
-    left = left.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", root.alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    opened = materialize(placed.join(mixed.select("key"), "key", "left_semi").select("id", "root").distinct(), "open-documents")
+    schema = "id long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in BITMAP)
+    sets = materialize(_only(docs, opened.select("id")).mapInArrow(tidy(_open_sets(size)), schema), "open-sets")
+    left = open_pairs(opened, sets, percent).join(pairs, ["a", "b"], "left_anti")
     more = _links(materialize(left, "open-pairs"), reps, docs, size, percent)
     if not more.isEmpty():
         roots = components(links.union(more))
-    drop(members, pairs, maps)
+    drop(members, pairs, opened, sets)
 
     classes = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", root.alias("root"))
     out = rows.drop("sig").join(classes, ["d1", "d2"], "left")
