@@ -36,15 +36,25 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, linked at a similarity of 0.8 or more: that with the smallest id."""
-    gone = near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group, linked at a similarity of 0.8 or more: that with the smallest id.
+
+    Rows that repeat an id and text are one document too; of their other columns the least values stay.
+    """
+    found = near_duplicates(docs, percent=80)
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = left.join(again, "doc_id").groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("rest"))
+    once = once.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents without a whole window of the benchmark; items shorter than one count by their share of the words."""
     found = decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter(decon.contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
+    hit = (F.col("n_whole") > 0) | decon.contaminated(F.col("n_hit"), F.col("n_words"))
+    gone = found.filter(hit).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
