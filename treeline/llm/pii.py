@@ -24,9 +24,13 @@ from .quality_rules import let
 
 ROUNDS = 8
 _ALONE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+#: A host up to the last label that starts with two letters, and of that one its letters alone.  Repeated
+#: groups are possessive: others recurse once for each label, and a long host would overflow the stack.
+_OTHER = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+"
+_HOST = rf"[A-Za-z0-9-]++(?:{_OTHER}\.[A-Za-z]{{2}}[A-Za-z0-9-]*+(?={_OTHER}\.[A-Za-z]{{2}}))*+{_OTHER}\.[A-Za-z]{{2,}}"
 #: Kind and expression, in the order in which they are tried (fixed values).
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@" + _HOST,
     "phone": _ALONE + r"(?:\+1[ .-]?)?\([2-9][0-9]{2}\)[ ]?[2-9][0-9]{2}[.-][0-9]{4}" + _END + "|" + _ALONE + r"(?:\+1[ .-]?)?[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}" + _END,
     "ip": _ALONE + r"(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.[0-9])" + _END,
     "date": _ALONE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
@@ -39,44 +43,47 @@ DATES = ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy")
 FIRST_DAY, DAYS = "1800-01-01", 146097
 
 
-def _noise(key: str, kind: str, round_: int, value: Column, size: int) -> Column:
-    """A keyed number below ``size``: 60 bits of SHA-256, reduced."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(round_), value.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % size
+def _sha(*parts) -> Column:
+    return F.sha2(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
 
 
-def _div(x: Column, y: int) -> Column:
-    return F.call_function("div", x, F.lit(y).cast("long"))
+def _number(digest: Column) -> Column:
+    """The first 60 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, a: int, b: int, key: str, kind: str) -> Column:
+def _long(x) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast("long")
+
+
+def _div(x: Column, y) -> Column:
+    return F.call_function("div", _long(x), _long(y))
+
+
+def feistel(x: Column, a, b, key: str, kind) -> Column:
     """A keyed permutation of the numbers below a * b: the two digits of x in base b are shifted by turns."""
+    a, b = _long(a), _long(b)
 
-    def go(s: Column, r: int) -> Column:
-        if r == ROUNDS:
-            return s["p"] * b + s["q"]
-        if r % 2:
-            new = F.struct(s["p"].alias("p"), ((s["q"] + _noise(key, kind, r, s["p"], b)) % b).alias("q"))
-        else:
-            new = F.struct(((s["p"] + _noise(key, kind, r, s["q"], a)) % a).alias("p"), s["q"].alias("q"))
-        return let(new, lambda t: go(t, r + 1))
+    def turn(s: Column, r: Column) -> Column:
+        p = F.when(r % 2 == 0, (s["p"] + _number(_sha(key, kind, r, s["q"])) % a) % a).otherwise(s["p"])
+        q = F.when(r % 2 == 1, (s["q"] + _number(_sha(key, kind, r, s["p"])) % b) % b).otherwise(s["q"])
+        return F.struct(p.alias("p"), q.alias("q"))
 
-    return let(x.cast("long"), lambda v: let(F.struct(_div(v, b).alias("p"), (v % b).alias("q")), lambda s: go(s, 0)))
+    start = F.struct(_div(x, b).alias("p"), (_long(x) % b).alias("q"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["p"] * b + s["q"])
 
 
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _pad(n: Column, width: int) -> Column:
-    return F.lpad(n.cast("string"), width, "0")
+def _pad(n: Column, width) -> Column:
+    return F.call_function("lpad", n.cast("string"), width if isinstance(width, Column) else F.lit(width), F.lit("0"))
 
 
-def _relayout(m: Column, digits: Column, which: str = "[0-9]") -> Column:
-    """The characters of m in ``which`` are replaced by the given ones, one by one; everything else stays."""
-    chars = F.split(m, "")
-    step = lambda s, c: F.when(c.rlike(which), F.struct(F.concat(s["out"], F.substr(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
-    return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: s["out"])
+def _relayout(m: Column, chars: Column, which: str = "[0-9]") -> Column:
+    """The characters of m in ``which`` are replaced by the given ones, in order; everything else stays."""
+    return F.array_join(F.zip_with(F.split(m, which), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
 
 
 def _sub(s: Column, start, length) -> Column:
@@ -88,30 +95,25 @@ def card(m: Column, key: str) -> Column:
     """The first digit stays, the check digit is made anew, what lies between is permuted."""
 
     def of(d: Column) -> Column:
-        def by_length(n: int) -> Column:
-            inner = n - 2
-            a, b = 10 ** (inner // 2), 10 ** (inner - inner // 2)
-            new = _pad(feistel(_sub(d, 2, inner).cast("long"), a, b, key, f"card{n}"), inner)
-            body = lambda s: F.concat(_sub(d, 1, 1), s)
-            checked = lambda s: let(body(s), lambda t: F.concat(t, F.get(F.filter(F.array(*[F.lit(str(c)) for c in range(10)]), lambda c: F.call_function("luhn_check", F.concat(t, c))), F.lit(0))))
-            return let(new, checked)
-
-        out = F.lit(None).cast("string")
-        for n in range(13, 20):
-            out = F.when(F.length(d) == n, by_length(n)).otherwise(out)
-        return out
+        inner = F.length(d) - 2
+        power = lambda n: F.get(F.array(*[F.lit(10**i) for i in range(10)]), n.cast("int"))
+        low = power(_div(inner, 2))
+        high = power(inner - _div(inner, 2))
+        new = _pad(feistel(_sub(d, 2, inner), low, high, key, F.concat(F.lit("card"), F.length(d).cast("string"))), inner)
+        check = lambda t: F.filter(F.array(*[F.lit(str(c)) for c in range(10)]), lambda c: F.call_function("luhn_check", F.concat(t, c)))
+        return let(F.concat(_sub(d, 1, 1), new), lambda t: F.concat(t, F.get(check(t), F.lit(0))))
 
-    return let(_digits(m), lambda d: F.when(F.call_function("luhn_check", d), _relayout(m, of(d))).otherwise(m))
+    return let(_digits(m), lambda d: F.when(F.call_function("luhn_check", d), _relayout(m, F.split(of(d), ""))).otherwise(m))
 
 
 def phone(m: Column, key: str) -> Column:
     """Country code and the leading digits of area and exchange stay; the other eight are permuted."""
 
     def of(d: Column) -> Column:
-        new = _pad(feistel(F.concat(_sub(d, -9, 2), _sub(d, -6, 2), _sub(d, -4, 4)).cast("long"), 10**4, 10**4, key, "phone"), 8)
+        new = _pad(feistel(F.concat(_sub(d, -9, 2), _sub(d, -6, 2), _sub(d, -4, 4)), 10**4, 10**4, key, "phone"), 8)
         return let(new, lambda e: F.concat(_sub(d, 1, F.length(d) - 9), _sub(e, 1, 2), _sub(d, -7, 1), _sub(e, 3, 6)))
 
-    return let(_digits(m), lambda d: _relayout(m, of(d)))
+    return let(_digits(m), lambda d: _relayout(m, F.split(of(d), "")))
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -137,45 +139,46 @@ def ip(m: Column, key: str) -> Column:
 def date(m: Column, key: str) -> Column:
     """Valid dates of 1800 to 2199 are permuted among themselves."""
     first = F.lit(FIRST_DAY).cast("date")
-    out = m
-    for layout, shape in zip(DATES, ("____-__-__", "__/__/____", "__.__.____"), strict=True):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), first)
-        new = lambda d, layout=layout: F.when((d >= 0) & (d < DAYS), F.date_format(F.date_add(first, feistel(d, 27, 5411, key, "date").cast("int")), layout)).otherwise(m)
-        out = F.when(m.like(shape), F.coalesce(let(day, _one(new)), m)).otherwise(out)
-    return out
-
+    day, shapes = F.lit(None).cast("int"), tuple(zip(DATES, ("____-__-__", "__/__/____", "__.__.____"), strict=True))
+    for layout, shape in shapes:
+        day = F.when(m.like(shape), F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), first)).otherwise(day)
+
+    def written(new: Column) -> Column:
+        out = m
+        for layout, shape in shapes:
+            out = F.when(m.like(shape), F.date_format(new, layout)).otherwise(out)
+        return out
 
-def _one(f):
-    return lambda x: f(x)
+    new = lambda d: F.when((d >= 0) & (d < DAYS), F.date_add(first, feistel(d, 27, 5411, key, "date").cast("int")))
+    return F.coalesce(let(let(day, new), written), m)
 
 
 def email(m: Column, key: str) -> Column:
-    """Letters and digits of the local part are shifted within their case or kind, half by half; the host stays."""
+    """Letters and digits of the local part are shifted within their case or kind, half by half; the host stays.
+
+    A round hashes the other half once, so the work is in proportion to the length.
+    """
     which = "[A-Za-z0-9]"
     at = F.instr(m, "@")
     local = F.substr(m, F.lit(1), at - 1)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     alphabet = lambda c: F.when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), upper).otherwise(digits)
 
-    def turn(half: Column, other: Column, r: int) -> Column:
-        seed = F.concat_ws("|", F.array_join(other, ""), F.size(half).cast("string"))
-
-        def shifted(c: Column, i: Column) -> Column:
-            noise = _noise(key, "email", r, F.concat_ws("|", i.cast("string"), seed), 1 << 40)
-            return let(alphabet(c), lambda s: F.substr(s, ((F.position(c, s) - 1 + noise) % F.length(s) + 1).cast("int"), F.lit(1)))
-
-        return F.transform(half, shifted)
+    def shift(half: Column, other: Column, r: Column) -> Column:
+        seed = _sha(key, "email", r, F.size(half), F.array_join(other, ""))
+        moved = lambda c, a, i, h: F.substr(a, (F.position(c, a) - 1 + _number(_sha(h, i)) % F.length(a)).cast("int") % F.length(a) + 1, F.lit(1))
+        return let(seed, lambda h: F.transform(half, lambda c, i: let(alphabet(c), lambda a: moved(c, a, i, h))))
 
-    def go(s: Column, r: int) -> Column:
-        if r == ROUNDS:
-            return F.array_join(F.concat(s["p"], s["q"]), "")
-        p, q = (s["p"], turn(s["q"], s["p"], r)) if r % 2 else (turn(s["p"], s["q"], r), s["q"])
-        return let(F.struct(p.alias("p"), q.alias("q")), lambda t: go(t, r + 1))
+    def turn(s: Column, r: Column) -> Column:
+        p = F.when(r % 2 == 0, shift(s["p"], s["q"], r)).otherwise(s["p"])
+        q = F.when(r % 2 == 1, shift(s["q"], s["p"], r)).otherwise(s["q"])
+        return F.struct(p.alias("p"), q.alias("q"))
 
-    half = lambda c: F.struct(F.slice(c, F.lit(1), _div(F.size(c), 2).cast("int")).alias("p"), F.slice(c, _div(F.size(c), 2).cast("int") + 1, F.size(c)).alias("q"))
+    cut = lambda c: _div(F.size(c), 2).cast("int")
+    halves = lambda c: F.struct(F.slice(c, F.lit(1), cut(c)).alias("p"), F.slice(c, cut(c) + 1, F.size(c)).alias("q"))
     chars = F.filter(F.split(local, ""), lambda c: c.rlike(which))
-    new = let(chars, lambda c: let(half(c), lambda s: go(s, 0)))
-    return F.concat(_relayout(local, new, which), F.substr(m, at, F.length(m)))
+    mixed = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves(c), turn, lambda s: F.concat(s["p"], s["q"]))
+    return F.concat(_relayout(local, let(chars, mixed), which), F.substr(m, at, F.length(m)))
 
 
 MAKERS = {"email": email, "phone": phone, "ip": ip, "date": date, "ssn": ssn, "card": card}

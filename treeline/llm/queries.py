@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 import public_tokenizers
 import pyarrow as pa
@@ -17,6 +18,7 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .token_counts import token_counts
 
+PII_KEY, PUBLIC_KEY = "spark.treeline.pii.key", "a public example key"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -95,7 +97,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(table(spark, sf_dir, "documents"), key="round-1 example key")
+    """The key is the setting ``spark.treeline.pii.key``; where it is unset, a public one that hides nothing from who knows it."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        warnings.warn(f"{PII_KEY} is unset: pseudonyms are made with a public key", stacklevel=2)
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), key=key or PUBLIC_KEY)
     counts = [_count(k).alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_values"), *counts)
 
