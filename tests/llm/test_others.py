@@ -70,14 +70,38 @@ def test_archive(spark, tmp_path):
     warc.write_archive(df, p)
     out = warc.reconstruct(warc.read_archive(spark, p, with_payload=True)).collect()
     got = sorted((repr(r.id), r.record_type, repr(r.refers_to), bytes(r.payload).decode(), r.n_bytes) for r in out)
-    largest = {same_: 5, "": 8, "long " * 100_000: 9}
+    largest, one = {same_: 5, "": 8, "long " * 100_000: 9}, [r for r in out if r.id == 5]
+    assert sorted(r.record_type for r in one) == ["response", "revisit"]
     want = []
-    for i, _, h in rows:
+    for i, u, h in rows:
         h = h or ""
-        again = i is not None and i != largest[h]
+        again = i is not None and (i != largest[h] or any(r.record_type == "revisit" and r.url == (u or "") for r in one if i == 5))
         want.append((repr(i), "revisit" if again else "response", repr(largest[h] if again else None), h, len(h.encode())))
     assert got == sorted(want)
     assert all(r.digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() for r in out)
+    files = [f.read_bytes() for f in (tmp_path / "a").glob("part-*")]
+    whole = [m for f in files for m in warc.members(memoryview(f))]
+    assert len(whole) == len(rows)  # a member each
+    assert b"".join(whole) == b"".join(__import__("gzip").decompress(f) for f in files)
+    assert sorted(whole) == sorted(bytes(r.record) + b"\r\n\r\n" for r in out)
+
+
+def test_large_pages_and_files_by_bytes(spark, tmp_path):
+    big = os.urandom(9_000_000).hex()
+    df = spark.createDataFrame([(1, "u", big), (2, "v", big), (3, "w", big[::-1]), (4, "x", "small")], "page_id long, url string, html string").coalesce(1)
+    p = f"file://{tmp_path}/a"
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(warc, "FILE_BYTES", 1_000_000)  # read by forked workers
+        warc.write_archive(df, p)
+    out = {r.id: (r.record_type, bytes(r.payload).decode()) for r in warc.reconstruct(warc.read_archive(spark, p, with_payload=True)).collect()}
+    assert out == {1: ("revisit", big), 2: ("response", big), 3: ("response", big[::-1]), 4: ("response", "small")}
+
+
+def test_payloads_of_one_weak_digest_stay_two(spark):
+    schema = warc.HEADERS + ", payload binary"
+    rows = [(i, kind, None, "u", "SAME", strong, b"h", b"t", 1 if body else None, body) for i, kind, strong, body in [(1, "response", "a", b"x"), (2, "response", "b", b"y"), (3, "revisit", "b", None)]]
+    out = {r.id: bytes(r.payload) for r in warc.reconstruct(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {1: b"x", 2: b"y", 3: b"y"}
 
 
 def test_small_payloads_are_all_responses(spark, tmp_path):
@@ -92,7 +116,7 @@ def test_damage_is_found(spark, tmp_path):
 
     p = tmp_path / "a"
     warc.write_archive(spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string"), f"file://{p}")
-    f = next(x for x in p.glob("*.gz") if x.stat().st_size > 50)
+    f = next(x for x in p.glob("part-*") if x.stat().st_size > 50)
     f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes()).replace(b"payload", b"PAYLOAD")))
     os.remove(p / f".{f.name}.crc")
     with pytest.raises(Exception, match="does not have its digest"):

@@ -63,7 +63,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch length for this session if it is longer than ``BATCH_ROWS``."""
+    """Lower the Arrow batch length for this session if it is longer than ``BATCH_ROWS``.
+
+    It stays lowered: a plan reads the setting when it runs, which is after the operator has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
