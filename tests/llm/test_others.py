@@ -52,6 +52,29 @@ def test_deep_tree_and_cycle(spark):
     assert chat.format_trees(nodes(spark, [])).count() == 0
 
 
+def test_long_chain_and_random_trees(spark):
+    """Chains beyond what paths in every node could hold, and trees against a walk in plain Python."""
+    import random
+
+    chain = [(1, i, i - 1 if i else None, "user", "x", 1) for i in range(20_000)]
+    out = chat.format_trees(nodes(spark, chain)).first()
+    assert len(chat.read_back(out.formatted)) == 20_000 and out.leaf == 19_999
+    r = random.Random(2)
+    rows = [(t, i, r.choice([None, *range(i)] if i else [None]), r.choice(["user", "assistant"]), f"{t}.{i}", r.choice([None, -1, 0, 3])) for t in range(6) for i in range(40)]
+    by = {(t, i): (p, role, text, s or 0) for t, i, p, role, text, s in rows}
+
+    def way(t, i):
+        return [] if i is None else [*way(t, by[t, i][0]), i]
+
+    want = {}
+    for t in range(6):
+        ends = set(range(40)) - {p for (u, _), (p, *_) in by.items() if u == t}
+        for leaf in sorted(ends, key=lambda i: (-sum(by[t, n][3] for n in way(t, i)), i))[:3]:
+            want[t, leaf] = [by[t, n][1:3] for n in way(t, leaf)]
+    out = chat.format_trees(nodes(spark, rows), keep=3).collect()
+    assert {(x.tree, x.leaf): chat.read_back(x.formatted) for x in out} == want
+
+
 def test_repeated_turns(spark):
     rows = [(1, 0, "user", "x"), (1, 0, "user", "x"), (1, 1, None, None)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, node long")

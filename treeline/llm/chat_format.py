@@ -1,16 +1,19 @@
 """Chat formatting of reply trees.
 
 Replies point at their parents.  Iterated self-joins double the length of each
-node's known way up, so paths to the root need as many rounds as the depth has
-binary digits.  The branches of a tree are ranked by score, and each chosen path
-becomes one conversation.
+node's known way up, so the root is reached in as many rounds as the depth has
+binary digits.  A round keeps, for each node, the node it has got to and the sum
+of the scores on the way; no path is stored.  The branches of a tree are ranked by
+score, and the rounds' jumps, from the longest to the shortest, then list the
+nodes of the chosen branches alone: each as one row.  Each chosen path becomes one
+conversation.
 
 The template is ``<s>role[INST]text[/INST]</s>`` for each turn.  A backslash goes
 before every backslash and control string inside roles and texts, so any text can
 be read back.  The loss mask covers the texts of assistant turns, nothing else.
 
 Edge cases: null texts and roles are empty.  Nodes whose parent is missing are
-roots; replies that form a cycle are an error.  Turns with equal numbers are ordered by role and text; repeated rows are
+roots; replies that form a cycle are an error.  A null score is 0.  Turns with equal numbers are ordered by role and text; repeated rows are
 turns of their own.  Nodes with a null tree id form one tree.  An empty table
 gives an empty table.  Other columns are not read.
 """
@@ -68,26 +71,46 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, node, path): for each leaf of (tree, node, parent) the nodes from its root to it."""
+def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Sums up to the root, (tree, node, score), of all nodes (tree, node, parent, score), and the jumps of
+    each round k: (tree, node, next), where ``next`` is 2^k replies up."""
     known = nodes.select(F.col("tree").alias("t2"), F.col("node").alias("n2")).distinct()
     up = nodes.join(known, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
-    parents = nodes.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
-    now, parts = materialize(up.select("tree", "node", F.col("n2").alias("next"), F.array("node").alias("path")), "paths"), []
+    now = materialize(up.select("tree", "node", F.col("n2").alias("next"), F.coalesce("score", F.lit(0)).alias("score")), "climb")
+    most, done, jumps = now.count(), [], []
     while True:
-        # Whole paths are done; only the others are joined again.
-        parts.append(now.filter("next is null"))
+        # Whole ways are done; only the others are joined again.
+        done.append(now.filter("next is null"))
         rest = now.filter("next is not null")
         if rest.isEmpty():
-            break
-        known = reduce(DataFrame.union, [*parts, rest])
-        above = known.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("next").alias("jump"), F.col("path").alias("before"))
+            return reduce(DataFrame.union, done).select("tree", "node", "score"), jumps
+        if 1 << len(jumps) > most:
+            raise ValueError("replies form a cycle")
+        jumps.append(rest.select("tree", "node", "next"))
+        known = reduce(DataFrame.union, [*done, rest])
+        above = known.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("next").alias("jump"), F.col("score").alias("more"))
         longer = rest.join(above, (F.col("tree") == F.col("t2")) & (F.col("next") == F.col("n2")))
-        path = F.concat("before", "path")
-        turned = F.raise_error(F.lit("replies form a cycle")).cast("long")
-        jump = F.when(F.array_contains(path, F.col("jump")), turned).otherwise(F.col("jump"))
-        now = materialize(longer.select("tree", "node", jump.alias("next"), path.alias("path")), "paths")
-    return reduce(DataFrame.union, parts).join(parents, ["tree", "node"], "left_anti").select("tree", "node", "path")
+        now = materialize(longer.select("tree", "node", F.col("jump").alias("next"), (F.col("score") + F.col("more")).alias("score")), "climb")
+
+
+def leaves(nodes: DataFrame, sums: DataFrame) -> DataFrame:
+    """(tree, node, score) of the nodes without a reply."""
+    parents = nodes.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
+    return sums.join(parents, ["tree", "node"], "left_anti")
+
+
+def paths(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, pos, node): the nodes from ``chosen`` (tree, leaf) up; ``pos`` is 0 there and falls by one a reply.
+
+    Every distance is a sum of different powers of two in one way, so a node comes once.
+    """
+    rows = chosen.select("tree", "leaf", F.lit(0).cast("long").alias("pos"), F.col("leaf").alias("node"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        rows = rows.join(jump, ["tree", "node"], "left")
+        here, there = F.struct("pos", "node"), F.struct((F.col("pos") - (1 << k)).alias("pos"), F.col("next").alias("node"))
+        both = F.when(F.col("next").isNull(), F.array(here)).otherwise(F.array(here, there))
+        rows = rows.select("tree", "leaf", F.explode(both).alias("x")).select("tree", "leaf", "x.pos", "x.node")
+    return rows
 
 
 def _format(batches):
@@ -106,11 +129,11 @@ def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
     small_batches(nodes.sparkSession)
     nodes = nodes.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "tree": F.coalesce("tree", F.lit(NO_TREE))})
     nodes = materialize(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
-    steps = reply_paths(nodes).select("tree", F.col("node").alias("leaf"), F.posexplode("path").alias("pos", "node"))
-    scored = steps.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+    sums, jumps = climb(nodes)
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select("tree", "leaf")
-    turns = steps.join(chosen, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    ends = leaves(nodes, sums).select("tree", F.col("node").alias("leaf"), "score")
+    chosen = materialize(ends.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select("tree", "leaf"), "branches")
+    turns = paths(chosen, jumps).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     whole = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     out = whole.select("tree", "turns", "leaf").mapInArrow(tidy(_format), "tree long, leaf long, formatted string, loss_mask array<struct<start:int,end:int>>")
     return out.withColumn("tree", F.when(F.col("tree") != NO_TREE, F.col("tree")))
