@@ -304,10 +304,43 @@ def brute_spans(text):
     for n, r in enumerate(secret_scan.RULES):
         for m in re.finditer(r.pattern, text or "", re.ASCII):
             if len(m[r.group]) >= r.shortest:
-                out.append((m.start(), n, m.end()))
+                out.append((m.start(r.group if r.ends else 0), n, m.end()))
     return sorted(out)
 
 
+#: The expressions as one would write them, with the same spans.
+PLAIN = {"jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "url_login": r"[A-Za-z][A-Za-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@"}
+
+
+def test_anchored_rules_have_the_spans_of_plain_ones():
+    import random
+
+    r = random.Random(4)
+    for rule in secret_scan.RULES:
+        if rule.kind not in PLAIN:
+            continue
+        parts = {"jwt": ["eyJ", "ey", "aaaaaaaa", "b_-", ".", ".", " ", "eyJ01234567"], "url_login": ["http", "9", "+", "://", "://u:", "://u:pw@", ":", "@", "pw", "/", " ", "a.b-"]}[rule.kind]
+        hits = 0
+        for _ in range(40_000):
+            text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+            want = [m.span() for m in re.finditer(PLAIN[rule.kind], text)]
+            assert [m.span(1) for m in re.finditer(rule.pattern, text)] == want, text
+            hits += len(want)
+        assert hits > 300
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Long runs of one kind of character, and very many matches, take time in proportion."""
+    import time
+
+    texts = ["a" * 400_000 + " x://", "a1" * 200_000 + "://u:p@h", "eyJ" * 100_000, "eyJ" * 50_000 + "." + "a" * 10 + "." + "b" * 10, "0123456789abcdef0123456789abcdef\n" * 40_000, "token=abcdef1 " * 20_000, "-----BEGIN " * 20_000, "x://" * 50_000, " " * 500_000]
+    began = time.time()
+    out = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secret_scan.secret_scan(table(spark, list(enumerate(texts)))).collect()}
+    assert time.time() - began < 60
+    assert len(out[4]) == 40_000 and (0, 8, 400_007) in out[1]
+    assert out == {i: brute_spans(t) for i, t in enumerate(texts)}
+
+
 def test_secrets(spark, sample):
     odd = [
         "é🎉 Password: 'abc123' token: token: abcdef secret==x api-key=1 APIKEY = \"abcdefgh\"", "AKIA" + "A1" * 8, "AKIAAKIA" + "B" * 12, "AKIAshort",

@@ -33,15 +33,21 @@ from .quality_rules import let
 
 @dataclass(frozen=True)
 class Rule:
-    """``shortest``: code points that group ``group`` must have at least."""
+    """``shortest``: code points that group ``group`` must have at least.
+
+    ``ends``: the span is that of the group, which ends the match.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     shortest: int = 0
+    ends: bool = False
 
 
-#: Rules of the base, then those this operator adds (fixed values).
+#: Rules of the base, then those this operator adds (fixed values).  ``jwt`` and ``url_login`` are tried at the
+#: start of a run of their characters alone, and pass over what comes before the secret: the same spans as those
+#: of the plain expressions, without scanning the run again from each of its characters.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
@@ -49,16 +55,18 @@ BASE = (
 )
 ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", 1, 0, True),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@"),
+    Rule("url_login", r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^/\s:@]++:[^/\s:@]++@)", 1, 0, True),
 )
 RULES = BASE + ADDED
 
 #: A query is True (nothing is demanded), a trigram, or ("and" | "or", queries).
 MOST_STRINGS = 64
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+RUN = 512
 
 
 def _join(kind: str, parts: list):
@@ -120,7 +128,7 @@ def _query(nodes):
             parts.append(_query(arg[3]))
         elif op is ops.BRANCH:
             parts.append(_join("or", [_query(b) for b in arg[1]]))
-        elif op is ops.MAX_REPEAT and arg[0] > 0:
+        elif op in (ops.MAX_REPEAT, ops.POSSESSIVE_REPEAT) and arg[0] > 0:
             parts.append(_query(arg[2]))
     return _join("and", [*parts, _of_strings(run)])
 
@@ -170,10 +178,23 @@ def matches(text: Column, rule: Rule, kind: int) -> Column:
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     sizes = F.transform(F.split(text, rule.pattern), lambda x: F.length(x))
     rows = F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("n"), F.transform(part, lambda x: F.length(x)).alias("s"), F.slice(sizes, F.lit(1), F.size(found)).alias("gap"))
-    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("end"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.when(x["s"] >= rule.shortest, F.array_append(a["out"], span(a["at"], x))).otherwise(a["out"]).alias("out"))
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+    return F.when(F.size(rows) > 0, let(rows, lambda r: _placed(r, rule, kind))).otherwise(F.array().cast(SPANS))
+
+
+def _placed(rows: Column, rule: Rule, kind: int) -> Column:
+    """Spans of matches (n, s, gap).  Lists grow within runs of ``RUN`` matches only, as each growth copies the list."""
+    runs = F.transform(F.sequence(F.lit(0), _div(F.size(rows) - 1, RUN)), lambda k: F.slice(rows, k * RUN + 1, F.lit(RUN)))
+    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + x["n"])
+    end = lambda a, x: a["at"] + x["gap"] + x["n"]
+    span = lambda a, x: F.struct((end(a, x) - (x["s"] if rule.ends else x["n"])).alias("start"), F.lit(kind).alias("kind"), end(a, x).alias("end"))
+    step = lambda a, x: F.struct(end(a, x).alias("at"), F.when(x["s"] >= rule.shortest, F.array_append(a["out"], span(a, x))).otherwise(a["out"]).alias("out"))
+    spans = lambda run, at: F.aggregate(run, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda a: a["out"])
+    before = lambda totals, k: F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda a, t: a + t)
+    return let(runs, lambda r: let(F.transform(r, total), lambda t: F.flatten(F.transform(r, lambda run, k: spans(run, before(t, k))))))
+
+
+def _div(x: Column, y: int) -> Column:
+    return F.call_function("div", x, F.lit(y)).cast("int")
 
 
 def secret_scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +205,7 @@ def secret_scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
     able = candidates(index, grams, queries).withColumnRenamed("id", "id2")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = docs.join(able, F.col("id").eqNullSafe(F.col("id2")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(SPANS)
     may = lambda i, q: F.lit(True) if q is True else F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
     # A run of hex digits that is too short is passed over by the expression itself: runs are maximal either way.
     each = [F.when(may(i, q), matches(F.col("t"), _tight(r), i)).otherwise(none) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
