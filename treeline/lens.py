@@ -1,7 +1,9 @@
 """A deterministic view of the star schema as the tables of a file store.
 
-Every table is a lazy DataFrame of whole source tables.  ``SQL_TABLES`` says the
-same in DuckDB's SQL, for the oracles.
+Every table is a DataFrame of whole source tables.  Chunks, files and replicas are
+what queries join most: they are written once in an application, bucketed by file
+id (``storage.stored``).  ``SQL_TABLES`` says the same in DuckDB's SQL, for the
+oracles.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .constants import CHUNK
+from .storage import stored
 
 
 def micros(column: str):
@@ -29,6 +32,9 @@ class Lens:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, sources: tuple[str, ...], order: list[str], make) -> DataFrame:
+        return stored(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in sources], "fid", order, make)
+
     @cached_property
     def dirs(self) -> DataFrame:
         root = self.spark.range(1).selectExpr("2L AS fid", "2L AS parent", "'/' AS name")
@@ -39,6 +45,9 @@ class Lens:
 
     @cached_property
     def chunks(self) -> DataFrame:
+        return self.stored("chunks", ("lineitem",), ["fid", "idx"], self._chunks)
+
+    def _chunks(self) -> DataFrame:
         cols = self.table("lineitem").columns
         idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*cols)).cast("long") - 1
         c = self.table("lineitem").withColumn("idx", idx)
@@ -51,6 +60,9 @@ class Lens:
     @cached_property
     def files(self) -> DataFrame:
         """Attributes of files; sizes and chunk counts from their chunks."""
+        return self.stored("files", ("orders", "lineitem"), ["fid"], self._files)
+
+    def _files(self) -> DataFrame:
         per_file = self.chunks.groupBy("fid").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
         o = self.table("orders").withColumn("mtime", micros("o_orderdate"))
         o = o.selectExpr(
@@ -74,6 +86,9 @@ class Lens:
 
     @cached_property
     def replicas(self) -> DataFrame:
+        return self.stored("replicas", ("lineitem", "orders", "supplier"), ["fid", "idx", "k"], self._replicas)
+
+    def _replicas(self) -> DataFrame:
         n = self.table("supplier").agg(F.count(F.lit(1)).alias("n_servers"))
         c = self.chunks.join(self.files.select("fid", "num_replicas"), "fid").join(F.broadcast(n))
         r = c.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_replicas") - 1))).filter("(chunk_id + 13 * k) % 29 <> 0")
