@@ -1,3 +1,5 @@
+import errno
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def test_depth_is_found(lens):
 
 
 def test_rebalance_invariants(lens):
-    plan = placement.plan_round(lens.replicas, lens.servers, 4000)
+    plan = placement.plan_round(lens.replicas, lens.places, 200)
     moves = plan.collect()
-    assert len({m.chunk_id for m in moves}) == len(moves)
+    assert moves and len({m.chunk_id for m in moves}) == len(moves)
     after = placement.apply_plan(lens.replicas, plan)
     assert after.count() == lens.replicas.count()
     twice = lambda r: r.groupBy("chunk_id", "server_id").count().filter("count > 1").count()
@@ -42,7 +44,7 @@ def test_rebalance_invariants(lens):
     racks = lens.servers.select("server_id", "rack")
     crowd = lambda r: r.join(racks, "server_id").groupBy("chunk_id", "rack").count().filter("count > 1").count()
     assert crowd(after) <= crowd(lens.replicas)
-    before = {r.server_id: r.side for r in placement.thresholds(placement.usage(lens.replicas, lens.servers), 4000).collect()}
+    before = {r.server_id: r.side for r in placement.thresholds(placement.usage(lens.replicas, lens.places), 200).collect()}
     assert all(before[m.from_server] == "over" and before[m.to_server] == "under" for m in moves)
 
 
@@ -108,3 +110,41 @@ def test_namespace(lens):
     assert ns.dus("/").first().bytes == lens.files.agg(F.sum("size")).first()[0]
     assert sum(r.bytes for r in ns.du("/").collect()) == ns.dus("/").first().bytes
     assert ns.glob("/AS*").select("path").collect()[0].path == "/ASIA"
+
+
+def test_verbs(lens):
+    """The verbs of the command line on a small tree, with what they refuse."""
+    small = lens.spark.createDataFrame(lens.fattr.filter("fid = 2").collect(), lens.fattr.schema).coalesce(1)
+    ns = Namespace(small, lens.chunks, lens.replicas).mkdirs("/new/a/b").create("/new/a/f", us=5).symlink("/new/l")
+    names = lambda n, p: [r.name for r in n.readdir(p).collect()]
+    assert names(ns, "/new") == ["a", "l"] and names(ns, "/new/a") == ["b", "f"]
+    for bad, code in [
+        (lambda: ns.mkdir("/new/a"), "EEXIST"), (lambda: ns.create("/none/f"), "ENOENT"), (lambda: ns.create("/new/a/f/x"), "ENOTDIR"), (lambda: ns.remove("/new/a"), "EISDIR"),
+        (lambda: ns.rmdir("/new/a"), "ENOTEMPTY"), (lambda: ns.rmdir("/new/l"), "ENOTDIR"), (lambda: ns.rename("/new/a", "/new/a/b/c"), "EINVAL"), (lambda: ns.rename("/new/l", "/new/a/f", overwrite=False), "EEXIST"), (lambda: ns.mkdir("/new/.."), "EINVAL"),
+    ]:
+        with pytest.raises(OSError) as e:
+            bad()
+        assert errno.errorcode[e.value.errno] == code
+    ns = ns.rename("/new/l", "/new/a/f").rmdir("/new/a/b").rename("/new/a", "/new/z").truncate("/new/z/f", 9)
+    assert names(ns, "/new") == ["z"] and ns.lookup("/new/z/f").select("type", "size").first() == ("link", 9)
+    assert ns.remove("/new/z/f").rmdir("/new/z").readdir("/new").count() == 0
+
+
+def test_tiers_and_what_is_below(lens):
+    ns = Namespace.of(lens)
+    n = ns.below("/ASIA").filter("type = 'file'").count()
+    assert n == ns.count("/ASIA").first().files and ns.below("/ASIA").count() == n + ns.count("/ASIA").first().dirs
+    assert ns.set_tiers("/ASIA", 3, 4).fattr.filter("min_tier = 3 AND max_tier = 4").count() >= n
+
+
+def test_rebalance_ends(lens):
+    """Rounds go on until there is no move; no copy is lost and none is doubled, and use comes closer to the mean."""
+    spread = lambda r: placement.usage(r, lens.places).agg(F.stddev("util")).first()[0]
+    after, moved = placement.rebalance(lens.replicas, lens.places, 200, rounds=2, cut=lambda df: df.cache())
+    assert moved and after.count() == lens.replicas.count()
+    assert spread(after) < spread(lens.replicas)
+    racks = lens.places.select("server_id", "rack")
+    wanted = lens.chunks.select("chunk_id").limit(50)
+    new = placement.new_copies(wanted, lens.replicas, lens.places)
+    clash = lens.replicas.join(racks, "server_id").select("chunk_id", "rack")
+    assert new.count() > 0 and new.join(racks, F.col("to_server") == F.col("server_id")).join(clash, ["chunk_id", "rack"]).count() == 0

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checksums import object_key
 from ..constants import ABANDONED_S, CHUNK
 from .layout import block_index, div
 
@@ -122,8 +123,15 @@ def checksums(held: DataFrame) -> DataFrame:
 
 
 def inventory_diff(expected: DataFrame, reported: DataFrame) -> DataFrame:
-    """(server_id, chunk_id, problem); servers whose checksums agree are not compared row by row."""
-    same = checksums(expected).join(checksums(reported), ["server_id", "n", "ids", "versions"]).select("server_id")
+    """(server_id, chunk_id, problem); servers whose checksums agree are not compared row by row.
+
+    The sums of ids and of versions alone would agree on two faults that cancel out; a sum of hashes of both does not.
+    """
+
+    def sums(held: DataFrame) -> DataFrame:
+        return held.groupBy("server_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("chunk_id", "version").cast("decimal(38,0)")).alias("both"))
+
+    same = sums(expected).join(sums(reported), ["server_id", "n", "both"]).select("server_id")
     e, r = (df.select("server_id", "chunk_id", "version").join(same, "server_id", "left_anti") for df in (expected, reported))
     both = e.withColumnRenamed("version", "want").join(r.withColumnRenamed("version", "have"), ["server_id", "chunk_id"], "full_outer")
     problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unknown").when(F.col("have") != F.col("want"), "version")
@@ -136,6 +144,48 @@ def objects_lost(files: DataFrame, present: DataFrame) -> DataFrame:
     return want.join(present, ["fid", "block"], "left_anti").groupBy("fid").agg(F.min("block").alias("first_gap"))
 
 
+#: Check text, file id and negative version of an object's key, perhaps with the file system's id.
+OBJECT_KEY = r"^([A-Za-z0-9_-]+)\.([0-9]{1,18})\.(-[0-9]{1,18})(?:\.[A-Za-z0-9_-]+)?$"
+
+
+def objects_found(objects: DataFrame, fs_id: int) -> DataFrame:
+    """``objects`` (key, ...) with ``fid``, ``version`` and ``expected``, the key that such a block has; null where the key is malformed."""
+    part = lambda i: F.nullif(F.regexp_extract("key", OBJECT_KEY, i), F.lit("")).cast("long")
+    rows = objects.withColumns({"fid": part(2), "version": part(3)})
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0 if c == "fid" else -1)).cast("long")
+    return rows.withColumn("expected", F.when(F.col("fid").isNotNull(), object_key(F.lit(fs_id).cast("long"), zero("fid"), zero("fid"), zero("version"))))
+
+
+def objects_stray(found: DataFrame, files: DataFrame, pending: DataFrame, seed: int) -> DataFrame:
+    """``found`` with ``problem``, of the objects that have one.
+
+    A version is the block's position, the file's least tier and one, taken together and negative.  Objects of files
+    that are gone are passed over if they wait to be deleted (``pending``: fid, version) or if their id is beyond ``seed``,
+    so made after the snapshot.
+    """
+    waits = pending.select("fid", "version", F.lit(True).alias("waits")).distinct()
+    rows = found.join(files.select("fid", "size", "num_replicas", "min_tier"), "fid", "left").join(waits, ["fid", "version"], "left")
+    at = -F.col("version") - 1 - F.col("min_tier")
+    problem = (
+        F.when(F.col("expected").isNull(), "malformed")
+        .when(F.col("expected") != F.col("key"), "wrong key")
+        .when(F.col("size").isNull(), F.when(F.col("waits").isNull() & (F.col("fid") <= seed), "no file"))
+        .when(F.col("num_replicas") != 0, "replicated")
+        .when(F.col("size") <= 0, None)
+        .when((at < 0) | (at % CHUNK != 0), "position")
+        .when(at >= F.col("size"), "past the end")
+    )
+    return rows.select(*found.columns, problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def fsck_report(summary: DataFrame) -> DataFrame:
+    """(measure, value, percent): each count with its share of the files, to two decimals, as the report prints it."""
+    files = summary.filter("measure = 'files'").select(F.col("value").alias("of"))
+    share = F.when(F.col("of") > 0, F.expr("(20000 * value + of) div (2 * of) / 100D"))
+    of_files = F.col("measure").isin("files", "striped", "with_recovery", *STATES.values())
+    return summary.join(F.broadcast(files)).select("measure", "value", F.when(of_files, share).alias("percent"))  # one row
+
+
 def rack_by_prefix(servers: DataFrame, rules: DataFrame) -> DataFrame:
     """(server_id, rack): the first rule (ord, prefix, rack) whose prefix fits; each ``?`` asks for one more character."""
     r = rules.select("ord", F.col("rack").alias("r"), F.rtrim("prefix", F.lit("?")).alias("head"), F.length("prefix").alias("least"))

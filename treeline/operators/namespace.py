@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ROOT
+from ..constants import MAX_NAME, ROOT
 from ..functions.text import bit
 
 
@@ -52,7 +52,7 @@ def rollup(fattr: DataFrame, dirs: DataFrame, depth: int | None = None, extra: d
     own = fattr.filter("type = 'file'").groupBy("parent").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
     per_dir = dirs.select("fid", (F.col("fid") != ROOT).cast("long").alias("self")).join(own, F.col("fid") == F.col("parent"), "left")
     climbed = dir_ancestors(dirs, depth).join(per_dir, "fid")
-    n_dirs = F.sum("self") - F.first(F.lit(0))
+    n_dirs = F.sum("self")
     out = climbed.groupBy(F.col("a").alias("fid")).agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in sums], n_dirs.alias("below"))
     return out.withColumn("dirs", (F.col("below") - (F.col("fid") != ROOT).cast("long")).cast("long")).drop("below")
 
@@ -78,15 +78,27 @@ def allowed(want: int, uid: Column, euid: Column, gid_match: Column, mode: Colum
     return (euid == 0) | bit(given, want)
 
 
-def can_access(fattr: DataFrame, users: DataFrame, user_group: DataFrame, want: int) -> DataFrame:
-    """(fid, euid, allowed) of each file and user (euid, egid)."""
-    member = user_group.select(F.col("uid").alias("m_uid"), F.col("gid").alias("m_gid"), F.lit(True).alias("member"))
-    rows = fattr.select("fid", "uid", "gid", "mode", *users.columns) if set(users.columns) <= set(fattr.columns) else fattr.join(users, F.col("fid") % F.lit(50) == F.col("euid"))
-    rows = rows.join(F.broadcast(member), (F.col("euid") == F.col("m_uid")) & (F.col("gid") == F.col("m_gid")), "left")
+def can_access(fattr: DataFrame, requests: DataFrame, user_group: DataFrame, want: int) -> DataFrame:
+    """(fid, euid, allowed) of requests (fid, euid, egid): what user ``euid``, now in group ``egid``, may do with a file."""
+    member = user_group.select(F.col("uid").alias("euid"), "gid", F.lit(True).alias("member")).distinct()
+    rows = requests.join(fattr.select("fid", "uid", "gid", "mode"), "fid").join(member, ["euid", "gid"], "left")
     group = (F.col("gid") == F.col("egid")) | F.coalesce("member", F.lit(False))
     return rows.select("fid", "euid", allowed(want, F.col("uid"), F.col("euid"), group, F.col("mode")).alias("allowed"))
 
 
+def may_delete(requests: DataFrame, fattr: DataFrame) -> DataFrame:
+    """(fid, euid, allowed) of requests (fid, euid): in a sticky directory only its owner, an entry's owner and the super-user delete."""
+    above = fattr.select(F.col("fid").alias("parent"), F.col("mode").alias("d_mode"), F.col("uid").alias("d_uid"))
+    rows = requests.join(fattr.select("fid", "parent", "uid"), "fid").join(above, "parent")
+    sticky = F.col("d_mode").bitwiseAND(0o1000) != 0
+    return rows.select("fid", "euid", (~sticky | F.col("euid").isin(0) | (F.col("euid") == F.col("uid")) | (F.col("euid") == F.col("d_uid"))).alias("allowed"))
+
+
+def valid_name(name: Column) -> Column:
+    """A name of one part: not empty, no dots alone, no slash or line break, not too long."""
+    return F.coalesce((name != "") & ~name.isin(".", "..") & ~name.rlike("[/\n\r]") & (F.octet_length(name) <= MAX_NAME), F.lit(False))
+
+
 def summary_counts(tier_low: int = 0, tier_high: int = 15, cutoff_us: int | None = None) -> dict[str, Column]:
     """Conditional sums of a listing summary: chunks, empty and abandoned files."""
     no_bytes, chunks = F.col("size") == 0, F.col("chunk_count") > 0

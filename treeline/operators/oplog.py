@@ -30,13 +30,6 @@ def segment_gaps(segments: DataFrame) -> DataFrame:
     return rows.select("segment", "start", "expected", F.when(F.col("start") > F.col("expected"), "gap").otherwise("overlap").alias("problem"))
 
 
-def first_of_bursts(requests: DataFrame, window_us: int) -> DataFrame:
-    """First of each (uid, rid) and of each that comes later than the window after the one before it, kept or not."""
-    w = Window.partitionBy("uid", "rid").orderBy("us", "seq")
-    before = F.lag("us").over(w)
-    return requests.withColumn("before", before).filter(F.col("before").isNull() | (F.col("us") - F.col("before") > window_us)).drop("before")
-
-
 def dedup_requests(requests: DataFrame, window_us: int, key: tuple[str, ...] = ("op", "uid", "rid")) -> DataFrame:
     """Requests that are no repeats: of each key the first, then each that comes later than the window after the last one kept.
 

@@ -48,7 +48,7 @@ def plan_round(replicas: DataFrame, servers: DataFrame, variation: int) -> DataF
     level = thresholds(use, variation).select("server_id", "side", "low", "high")
     use = use.join(level, "server_id").withColumns({"mean": F.expr("total div 1000000 * ((low + high) div 2)")})
     give = use.filter("side = 'over'").select("server_id", (F.col("used") - F.col("mean")).alias("surplus"))
-    line = Window.partitionBy("server_id").orderBy(F.desc("size"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("server_id").orderBy(F.desc("size"), "chunk_id", "k").rowsBetween(Window.unboundedPreceding, 0)
     moving = replicas.join(give, "server_id").withColumn("upto", F.sum("size").over(line)).filter("upto <= surplus")
     # A few rows for each server; the running sums go over servers, not over copies.
     by_server = moving.groupBy("server_id").agg(F.sum("size").alias("out"))
@@ -72,3 +72,34 @@ def apply_plan(replicas: DataFrame, plan: DataFrame) -> DataFrame:
     moves = plan.select("chunk_id", F.col("from_server").alias("server_id"), "to_server")
     rows = replicas.join(moves, ["chunk_id", "server_id"], "left")
     return rows.withColumn("server_id", F.coalesce("to_server", "server_id")).drop("to_server").select(replicas.columns)
+
+
+def rebalance(replicas: DataFrame, servers: DataFrame, variation: int, rounds: int = 20, cut=lambda df: df.checkpoint()) -> tuple[DataFrame, list[int]]:
+    """``replicas`` after rounds of moves until one has none, and the moves of each round.
+
+    ``cut`` ends a round's lineage.  ``rounds`` bounds the work of a call, as the last moves may go back and forth; call again to go on.
+    """
+    moved = []
+    for _ in range(rounds):
+        plan = cut(plan_round(replicas, servers, variation))
+        n = plan.count()
+        if n == 0:
+            break
+        moved.append(n)
+        replicas = cut(apply_plan(replicas, plan))
+    return replicas, moved
+
+
+def new_copies(wanted: DataFrame, replicas: DataFrame, servers: DataFrame, limit: float = PLACEMENT_LIMIT) -> DataFrame:
+    """(chunk_id, to_server) for chunks (chunk_id) that want one more copy: the least used server of a rack without the chunk.
+
+    Racks that hold the chunk are left out, and servers over ``limit``.  A rack offers its least used server, so a
+    chunk meets as many rows as there are racks, not servers; chunks with no rack left are not in the result.
+    """
+    best = F.min(F.struct("util", "server_id"))
+    offers = usage(replicas, servers).filter(F.col("util") <= int(limit * 1000000)).groupBy("rack").agg(best.alias("x")).select("rack", "x.util", F.col("x.server_id").alias("to_server"))
+    offers = offers.agg(F.collect_list(F.struct("util", "to_server", "rack")).alias("offers"))  # one row, of the racks
+    holds = replicas.join(servers.select("server_id", "rack"), "server_id").groupBy("chunk_id").agg(F.collect_set("rack").alias("racks"))
+    rows = wanted.select("chunk_id").join(holds, "chunk_id", "left").join(F.broadcast(offers))
+    free = F.filter("offers", lambda o: ~F.coalesce(F.array_contains("racks", o["rack"]), F.lit(False)))
+    return rows.select("chunk_id", F.array_min(free)["to_server"].alias("to_server")).filter("to_server IS NOT NULL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.checksums import object_key
 from ..lens import Lens
 from ..operators import integrity as ok
 from ..operators import placement as pl
@@ -34,17 +35,28 @@ def fsck_files(x: Lens):
     return ok.file_states(x.files, _states(x)[1], NOW_US).select("fid", "state", "size", "chunk_count")
 
 
-@query(STATES_SQL + """, a AS (SELECT count(*) AS files, count(*) FILTER (num_stripes > 0) AS striped, count(*) FILTER (num_recovery > 0) AS with_recovery, count(*) FILTER (state = 1) AS lost,
+SUMMARY_SQL = STATES_SQL + """, a AS (SELECT count(*) AS files, count(*) FILTER (num_stripes > 0) AS striped, count(*) FILTER (num_recovery > 0) AS with_recovery, count(*) FILTER (state = 1) AS lost,
 count(*) FILTER (state = 2) AS lost_if_server_down, count(*) FILTER (state = 3) AS lost_if_rack_down, count(*) FILTER (state = 4) AS abandoned, count(*) FILTER (state = 5) AS ok,
 max(size) AS max_size, max(chunk_count) AS max_chunks, max(num_replicas) AS max_replication, sum(size)::BIGINT AS bytes FROM fs),
 b AS (SELECT count(*) AS chunks, sum(n)::BIGINT AS replicas, count(*) FILTER (n = 0) AS lost_chunks, count(*) FILTER (n > 0 AND n < num_replicas) AS under_replicated, count(*) FILTER (n > num_replicas) AS over_replicated FROM st),
-c AS (SELECT count(*) AS blocks, count(*) FILTER (m > 0 AND missing > 0 AND missing <= m) AS partial_recovery FROM bl)
-SELECT measure, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME measure VALUE value) UNION ALL SELECT measure, value FROM (UNPIVOT b ON COLUMNS(*) INTO NAME measure VALUE value)
-UNION ALL SELECT measure, value FROM (UNPIVOT c ON COLUMNS(*) INTO NAME measure VALUE value)""")
+c AS (SELECT count(*) AS blocks, count(*) FILTER (m > 0 AND missing > 0 AND missing <= m) AS partial_recovery FROM bl),
+s AS (SELECT measure, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME measure VALUE value) UNION ALL SELECT measure, value FROM (UNPIVOT b ON COLUMNS(*) INTO NAME measure VALUE value)
+UNION ALL SELECT measure, value FROM (UNPIVOT c ON COLUMNS(*) INTO NAME measure VALUE value))
+"""
+
+
+@query(SUMMARY_SQL + "SELECT * FROM s")
 def fsck_summary(x: Lens):
     return ok.fsck_summary(ok.file_states(x.files, _states(x)[1], NOW_US))
 
 
+@query(SUMMARY_SQL + """SELECT measure, value, CASE WHEN measure IN ('files', 'striped', 'with_recovery', 'lost', 'lost_if_server_down', 'lost_if_rack_down', 'abandoned', 'ok')
+THEN ((20000 * value + n) // (2 * n))::DOUBLE / 100 END AS percent FROM s, (SELECT count(*) AS n FROM fs)""")
+def fsck_report(x: Lens):
+    """The summary with each count's share of the files."""
+    return ok.fsck_report(ok.fsck_summary(ok.file_states(x.files, _states(x)[1], NOW_US)))
+
+
 @query(STATES_SQL + "SELECT fid, block, m, missing, missing <= m AS recoverable FROM bl")
 def recoverable_blocks(x: Lens):
     return _states(x)[1].select("fid", "block", "m", "missing", (F.col("missing") <= F.col("m")).alias("recoverable"))
@@ -89,11 +101,27 @@ def inventory_diff(x: Lens):
 
 
 @query(""", w AS (SELECT fid, unnest(range(0, (size - 1) // 67108864 + 1)) AS block FROM files WHERE size > 0)
-SELECT fid, min(block) AS first_gap FROM w WHERE (fid + block) % 23 = 0 GROUP BY fid""")
+SELECT fid, min(block) AS first_gap FROM w LEFT JOIN chunks c USING (fid) WHERE NOT EXISTS (SELECT 1 FROM chunks d WHERE d.fid = w.fid AND d.idx = w.block AND (d.fid + d.idx) % 23 <> 0) GROUP BY fid""")
 def objstore_lost(x: Lens):
-    blocks = x.chunks.select("fid", F.col("idx").alias("block"))
-    every = x.files.filter("size > 0").select("fid", F.explode(F.expr("sequence(0L, (size - 1) div 67108864 + 2)")).alias("block"))
-    return ok.objects_lost(x.files, every.union(blocks.filter("false")).filter("(fid + block) % 23 <> 0"))
+    """The chunks that there are, but for one in 23, stand for the objects."""
+    return ok.objects_lost(x.files, x.chunks.filter("(fid + idx) % 23 <> 0").select("fid", F.col("idx").alias("block")))
+
+
+@query(""", o AS (SELECT c.chunk_id, c.fid % 9 AS k, CASE c.fid % 9 WHEN 1 THEN c.fid + 7000000000 ELSE c.fid END AS fid, CASE c.fid % 9 WHEN 2 THEN idx + 40 ELSE idx END AS block, CASE c.fid % 9 WHEN 4 THEN 5 ELSE 0 END AS shift FROM chunks c)
+SELECT * FROM (SELECT o.chunk_id, CASE WHEN k = 0 THEN 'malformed' WHEN k = 3 THEN 'wrong key' WHEN f.fid IS NULL THEN CASE WHEN o.fid <= 8000000500 AND block % 4 <> 1 THEN 'no file' END WHEN o.fid % 10 = 0 THEN 'replicated'
+WHEN size <= 0 THEN NULL WHEN shift > 0 THEN 'position' WHEN block * 67108864 >= size THEN 'past the end' END AS problem FROM o LEFT JOIN files f ON f.fid = o.fid) WHERE problem IS NOT NULL""")
+def objstore_stray(x: Lens):
+    """Keys of the chunks as objects: some malformed, of no file, past the end, with another check text, or off a block's start.  Blocks 1, 5, ... of files that are gone wait to be deleted."""
+    kind = F.col("fid") % 9
+    files = x.files.withColumn("num_replicas", (F.col("fid") % 10 == 0).cast("long"))
+    fid = F.when(kind == 1, F.col("fid") + 7_000_000_000).otherwise(F.col("fid"))
+    tier = F.when(kind == 1, 0).otherwise(F.col("min_tier"))
+    version = -(F.col("idx") + F.when(kind == 2, 40).otherwise(0)) * (64 << 20) - 1 - tier - F.when(kind == 4, 5).otherwise(0)
+    rows = x.chunks.join(files.select("fid", "min_tier"), "fid").select("chunk_id", "idx", kind.alias("kind"), fid.alias("f"), version.alias("v"))
+    key = object_key(F.lit(77).cast("long"), F.col("f"), F.col("f"), F.col("v"))
+    key = F.when(F.col("kind") == 0, F.concat(F.lit("junk"), F.col("chunk_id"))).when(F.col("kind") == 3, F.concat(F.lit("A"), key)).otherwise(key)
+    pending = rows.filter("idx % 4 = 1").select(F.col("f").alias("fid"), F.col("v").alias("version"))
+    return ok.objects_stray(ok.objects_found(rows.select("chunk_id", key.alias("key")), 77), files, pending, 8_000_000_500).select("chunk_id", "problem")
 
 
 @query("SELECT host, port FROM servers WHERE server_id % 5 = 0 AND server_id % 7 = 0")
@@ -127,10 +155,24 @@ def rebalance_thresholds(x: Lens):
     return pl.thresholds(pl.usage(x.replicas, x.places), 4000)
 
 
-@query()
+#: Half of this on either side of the mean: the spread of use is some hundreds of millionths.
+VARIATION = 200
+REBALANCE_SQL = """, u AS (SELECT server_id, rack, total, used, used * 1000000 // total AS util FROM servers), m AS (SELECT sum(util)::BIGINT // count(*) AS mean FROM u),
+v AS (SELECT u.*, greatest(0, mean - 100) AS low, least(1000000, mean + 100) AS high, total // 1000000 * ((greatest(0, mean - 100) + least(1000000, mean + 100)) // 2) AS level FROM u, m),
+mv AS (SELECT r.*, v.used - v.level AS surplus, sum(r.size) OVER (PARTITION BY r.server_id ORDER BY r.size DESC, r.chunk_id, r.k ROWS UNBOUNDED PRECEDING) AS upto FROM replicas r JOIN v ON v.server_id = r.server_id WHERE util > high),
+mo AS (SELECT * FROM mv WHERE upto <= surplus),
+so AS (SELECT server_id, coalesce(sum(out) OVER (ORDER BY server_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT server_id, sum(size) AS out FROM mo GROUP BY 1)),
+tk AS (SELECT server_id AS to_server, rack AS to_rack, level - used AS room, sum(level - used) OVER (ORDER BY level - used DESC, server_id ROWS UNBOUNDED PRECEDING) AS hi FROM v WHERE util < low),
+pl AS (SELECT mo.*, to_server, to_rack FROM mo JOIN so ON so.server_id = mo.server_id JOIN tk ON start + upto - size >= hi - room AND start + upto <= hi),
+ok AS (SELECT pl.*, row_number() OVER (PARTITION BY chunk_id ORDER BY k) AS one FROM pl
+  WHERE NOT EXISTS (SELECT 1 FROM replicas r JOIN servers s ON s.server_id = r.server_id WHERE r.chunk_id = pl.chunk_id AND r.k <> pl.k AND (s.server_id = to_server OR s.rack = to_rack)))
+"""
+
+
+@query(REBALANCE_SQL + "SELECT chunk_id, server_id AS from_server, to_server FROM ok WHERE one = 1")
 def rebalance_plan(x: Lens):
-    """Invariants are tested: takers stay under the mean, no rack or server gets a second copy, no copy is lost."""
-    return pl.plan_round(x.replicas, x.places, 4000)
+    """The first round; ``placement.rebalance`` repeats rounds.  Invariants are tested: takers stay under the mean, no rack or server gets a second copy, no copy is lost."""
+    return pl.plan_round(x.replicas, x.places, VARIATION)
 
 
 @query("""SELECT count(*) AS servers, count(*) FILTER (server_id % 7 <> 0) AS up, count(*) FILTER (server_id % 7 = 0) AS down, count(*) FILTER (server_id % 4 = 0 AND server_id % 7 <> 0) AS retiring,

@@ -94,11 +94,28 @@ def glob(x: Lens):
     return ns.all_paths(x.fattr, x.dirs, x.DEPTH).filter(F.col("path").rlike(T.glob_regex("/A*/NATION_[0-5]/Customer#0000000??/o[1-3]*"))).select("fid", "path")
 
 
-@query("""SELECT fid, fid % 50 AS euid, (fid % 50 = 0 OR ((CASE WHEN uid = fid % 50 THEN mode >> 6
-WHEN gid = fid % 10 OR EXISTS (SELECT 1 FROM user_group g WHERE g.uid = fid % 50 AND g.gid = f.gid) THEN mode >> 3 ELSE mode END) & 2) <> 0) AS allowed FROM files f""")
+@query(""", r AS (SELECT fid, u AS euid, (fid + u) % 10 AS egid FROM files, (VALUES (0), (7), (23), (41)) t(u))
+SELECT r.fid, euid, CASE WHEN euid = 0 THEN true WHEN uid = euid THEN mode & 128 <> 0 WHEN gid = egid OR (euid, gid) IN (SELECT (uid, gid) FROM user_group) THEN mode & 16 <> 0 ELSE mode & 2 <> 0 END AS allowed FROM r JOIN files f USING (fid)""")
 def can_access(x: Lens):
-    asked = x.files.select("fid", "uid", "gid", "mode", (F.col("fid") % 50).alias("euid"), (F.col("fid") % 10).alias("egid"))
-    return ns.can_access(asked, asked.select("euid", "egid"), x.user_group, 2)
+    """Four users ask to write every file."""
+    euid = F.explode(F.array(*[F.lit(u).cast("long") for u in (0, 7, 23, 41)]))
+    asked = x.files.select("fid", euid.alias("euid")).withColumn("egid", (F.col("fid") + F.col("euid")) % 10)
+    return ns.can_access(x.files, asked, x.user_group, 2)
+
+
+@query(""", f AS (SELECT fid, parent, uid, CASE WHEN type = 'dir' AND fid % 3 = 0 THEN mode + 512 ELSE mode END AS mode FROM fattr), r AS (SELECT fid, fid % 2 * (fid % 50) AS euid FROM files)
+SELECT r.fid, r.euid, NOT (d.mode >= 512 AND r.euid NOT IN (0, f.uid, d.uid)) AS allowed FROM r JOIN f ON f.fid = r.fid JOIN f d ON d.fid = f.parent""")
+def sticky_delete(x: Lens):
+    """A third of the directories are sticky."""
+    f = x.fattr.withColumn("mode", F.when((F.col("type") == "dir") & (F.col("fid") % 3 == 0), F.col("mode") + 512).otherwise(F.col("mode")))
+    return ns.may_delete(x.files.select("fid", (F.col("fid") % 2 * (F.col("fid") % 50)).alias("euid")), f)
+
+
+@query("""SELECT name, name NOT IN ('', '.', '..') AND position('/' IN name) = 0 AND position(chr(10) IN name) = 0 AND position(chr(13) IN name) = 0 AND strlen(name) <= 4096 AS valid
+FROM (SELECT CASE fid % 8 WHEN 0 THEN '.' WHEN 1 THEN '..' WHEN 2 THEN 'a/' || name WHEN 3 THEN '' WHEN 4 THEN name || chr(10) WHEN 5 THEN repeat('é', 2048 + (fid // 8 % 2)::INT) ELSE name END AS name FROM files)""")
+def name_valid(x: Lens):
+    name = F.expr("CASE fid % 8 WHEN 0 THEN '.' WHEN 1 THEN '..' WHEN 2 THEN concat('a/', name) WHEN 3 THEN '' WHEN 4 THEN concat(name, chr(10)) WHEN 5 THEN repeat('é', cast(2048 + fid div 8 % 2 AS int)) ELSE name END")
+    return x.files.select(name.alias("name")).withColumn("valid", ns.valid_name(F.col("name")))
 
 
 @query("SELECT fid, min_tier, max_tier FROM files WHERE max_tier >= 2 AND min_tier <= 2")

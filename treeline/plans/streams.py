@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..lens import Lens, micros
+from ..storage import shared_root
 from ..streaming import log, retention
 from .catalog import query
 
@@ -14,15 +15,7 @@ _KIND = "CASE event_type WHEN 'signup' THEN 'mkdir' WHEN 'view' THEN 'setmtime'
 
 
 def _root(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import atexit
-        import shutil
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="treeline-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root}/treeline-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/treeline/stream-{uuid.uuid4().hex}"
 
 
 def _events(x: Lens):
