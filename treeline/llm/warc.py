@@ -41,6 +41,8 @@ END = "\r\n\r\n"
 FILE_BYTES = 16_000_000
 #: Records come out of a reader in batches of about so many bytes.
 BATCH_BYTES = 4_000_000
+#: Compressed bytes that are inflated at once.
+STEP = 16_384
 NOTHING = gzip.compress(b"", mtime=0)
 HEADERS = "id long, record_type string, refers_to long, url string, digest string, strong string, header binary, http binary, n_bytes long"
 
@@ -121,15 +123,22 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def members(content: memoryview):
-    """The inflated gzip members of a file, one by one."""
-    while content:
-        z = zlib.decompressobj(31)
-        out = z.decompress(content)
-        if not z.eof:
-            raise ValueError("a gzip member is cut short")
-        if out:
+    """The inflated gzip members of a file, one by one.
+
+    A member is fed in steps, as what lies beyond its end is copied.
+    """
+    at = 0
+    while at < len(content):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = content[at : at + STEP]
+            if not piece:
+                raise ValueError("a gzip member is cut short")
+            parts.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)
+        if out := b"".join(parts):
             yield out
-        content = content[len(content) - len(z.unused_data) :]
 
 
 def parse(data: bytes):
