@@ -97,7 +97,7 @@ def stripe_valid(x: Lens):
     return x.spark.range(200).select(size.alias("stripe_size"), mu.stripe_valid(F.lit(6), F.lit(3), size).alias("valid"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in mu.STATUS.items()) + ") t(status, number)", tables=False)
+@query("""SELECT * FROM (VALUES ('OK', 0), ('EPERM', 1), ('ENOENT', 2), ('EACCES', 13), ('EEXIST', 17), ('ENOTDIR', 20), ('EISDIR', 21), ('EINVAL', 22), ('ENOSYS', 38), ('ENOTEMPTY', 39)) t(status, number)""", tables=False)
 def status_names(x: Lens):
     return x.spark.createDataFrame(list(mu.STATUS.items()), "status string, number int")
 

@@ -95,9 +95,11 @@ def object_key(x: Lens):
     return c.select("chunk_id", cs.object_key(F.lit(7_700_000_001).cast("long") + F.col("fid") * 0, "fid", "chunk_id", "version").alias("key"))
 
 
-@query("SELECT doc_id, text AS back FROM documents WHERE text IS NOT NULL", tables=False)
+@query("""SELECT doc_id, text AS back, replace(replace(replace(replace(replace(replace(replace(replace(text, '%', '%25'), '=', '%3D'), ';', '%3B'), '/', '%2F'), ',', '%2C'), chr(10), '%0A'), chr(9), '%09'), chr(13), '%0D') AS escaped
+FROM documents WHERE text IS NOT NULL""", tables=False)
 def escape_round_trip(x: Lens):
-    return x.table("documents").filter("text IS NOT NULL").select("doc_id", cs.unescape(cs.escape("text")).alias("back"))
+    hidden = cs.escape("text")
+    return x.table("documents").filter("text IS NOT NULL").select("doc_id", cs.unescape(hidden).alias("back"), hidden.alias("escaped"))
 
 
 @query(tables=False)
