@@ -7,6 +7,7 @@ for everything that is arithmetic.
 from __future__ import annotations
 
 import base64
+import gzip
 import struct
 import zlib
 
@@ -165,3 +166,9 @@ def chunk_file(fid: int, cid: int, version: int, data: bytes, block: int = CHECK
 @F.pandas_udf(T.StringType())
 def scrub(name: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([scrub_one(n, c) for n, c in zip(name, content, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def inflate(data: pd.Series) -> pd.Series:
+    """Bytes that start with the gzip magic, inflated, all members of them; others as they are."""
+    return data.map(lambda b: gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b, na_action="ignore")

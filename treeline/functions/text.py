@@ -45,6 +45,38 @@ def iso_micros(us: Column) -> Column:
     return F.concat(date.cast("string"), F.lit("T"), part(3600000000, 24), F.lit(":"), part(60000000, 60), F.lit(":"), part(1000000, 60), F.lit("."), F.lpad((rest % 1000000).cast("string"), 6, "0"), F.lit("Z"))
 
 
+def parse_iso(text: Column) -> Column:
+    """Microseconds of what ``iso_micros`` writes; null for any other form and for days that no month has."""
+    form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z\z"
+    stamp = F.translate(F.substring(text, 1, 26), "T", " ").try_cast("timestamp_ntz")
+    return F.when(text.rlike(form), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), stamp))
+
+
+def readable_bytes(size: Column) -> Column:
+    """Two digits of a fraction, ties to even, in the largest unit that the size is over; the space is the web page's entity."""
+    out = F.concat(size.cast("string"), F.lit(".00&nbsp;bytes"))
+    for bits, unit in ((20, "MB"), (30, "GB"), (40, "TB"), (50, "PB")):
+        mask = (1 << bits) - 1
+        cents = size.bitwiseAND(F.lit(mask)) * 100
+        whole, rest = F.shiftright(cents, bits), cents.bitwiseAND(F.lit(mask))
+        half = F.lit(1 << (bits - 1))
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        n = whole + up.cast("long")
+        text = F.concat((F.shiftright(size, bits) + (n == 100).cast("long")).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(f"&nbsp;{unit}"))
+        out = F.when(size > F.lit(1 << bits), text).otherwise(out)
+    return out
+
+
+def override(base: Column, later: Column) -> Column:
+    """Union of two maps; of a key in both, the later value."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+
+def listed_object(xml: Column) -> Column:
+    """Key and size of an object in a bucket listing of one entry; null fields for what is missing."""
+    return F.from_xml(xml, "Contents struct<Key: string, Size: long>")["Contents"]
+
+
 def ls_minute(us: Column) -> Column:
     return F.replace(F.substring(iso_micros(us), 1, 16), F.lit("T"), F.lit(" "))
 

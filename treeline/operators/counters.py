@@ -90,3 +90,9 @@ def freshness(events: DataFrame, key: str, now_us: Column, timeout_us: int) -> D
     """(key, last, down): whether the last event is older than the timeout."""
     last = events.groupBy(key).agg(F.max("us").alias("last"))
     return last.withColumn("down", now_us - F.col("last") > timeout_us)
+
+
+def of_hosts(samples: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(server, us, value): the last sample of each server in ``hosts`` (server)."""
+    last = samples.join(hosts, "server", "left_semi").groupBy("server").agg(F.max(F.struct("us", "event_id", "value")).alias("last"))
+    return last.select("server", "last.us", "last.value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK
@@ -76,3 +76,12 @@ def sparse_read(blocks: DataFrame, files: DataFrame, unit: int) -> DataFrame:
     """(fid, block, data): every block of ``unit`` bytes below a file's size; holes are zeros."""
     all_ = files.filter("size > 0").select("fid", F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("size") - 1, unit))).alias("block"))
     return all_.join(blocks, ["fid", "block"], "left").withColumn("data", F.coalesce("data", F.unhex(F.lit("00" * unit))))
+
+
+def merged_ranges(files: DataFrame) -> DataFrame:
+    """(parent, fid, at, size): where each file begins when a directory's files are joined into one, in the order of their names.
+
+    The sizes alone are moved; with them every file is copied to its place on its own.
+    """
+    w = Window.partitionBy("parent").orderBy("name", "fid").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("parent", "fid", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long").alias("at"), "size")

@@ -103,3 +103,25 @@ def new_copies(wanted: DataFrame, replicas: DataFrame, servers: DataFrame, limit
     rows = wanted.select("chunk_id").join(holds, "chunk_id", "left").join(F.broadcast(offers))
     free = F.filter("offers", lambda o: ~F.coalesce(F.array_contains("racks", o["rack"]), F.lit(False)))
     return rows.select("chunk_id", F.array_min(free)["to_server"].alias("to_server")).filter("to_server IS NOT NULL")
+
+
+def short_of_copies(chunks: DataFrame, files: DataFrame, replicas: DataFrame, servers: DataFrame) -> DataFrame:
+    """(fid, chunk_id, have, want, state) of chunks with fewer copies on ``servers`` (those up) than their file asks for.
+
+    With a copy left a chunk waits for replication; with none, for recovery from its stripe, or else for a server to come back.
+    """
+    live = replicas.join(servers.select("server_id"), "server_id", "left_semi").groupBy("fid", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = chunks.select("fid", "chunk_id").join(files.select("fid", "num_replicas", "num_stripes"), "fid").join(live, ["fid", "chunk_id"], "left")
+    have = F.coalesce("n", F.lit(0)).cast("long")
+    state = F.when(have > 0, "replication").when(F.col("num_stripes") > 0, "recovery").otherwise("pending")
+    return rows.filter(have < F.col("num_replicas")).select("fid", "chunk_id", have.alias("have"), F.col("num_replicas").alias("want"), state.alias("state"))
+
+
+def plan_counters(plan: DataFrame, replicas: DataFrame) -> DataFrame:
+    """(server_id, sent, sent_bytes, got, got_bytes) of the servers in a plan."""
+    held = replicas.select("chunk_id", F.col("server_id").alias("from_server"), "size")
+    moves = plan.join(held, ["chunk_id", "from_server"])
+    ends = F.array(F.struct(F.col("from_server").alias("server_id"), F.lit(1).alias("out")), F.struct(F.col("to_server").alias("server_id"), F.lit(0).alias("out")))
+    rows = moves.select("size", F.explode(ends).alias("end")).select("size", "end.server_id", (F.col("end.out") == 1).alias("out"))
+    n, size = (lambda c: F.count_if(c)), (lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0).cast("long")))
+    return rows.groupBy("server_id").agg(n(F.col("out")).alias("sent"), size(F.col("out")).alias("sent_bytes"), n(~F.col("out")).alias("got"), size(~F.col("out")).alias("got_bytes"))

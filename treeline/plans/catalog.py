@@ -29,4 +29,4 @@ def query(sql: str | None = None, tables: bool = True):
     return register
 
 
-from . import codec, counters, integrity, layout, log, mutations, namespace, scalars, streams  # noqa: E402, F401
+from . import codec, counters, integrity, layout, log, mutations, namespace, reports, scalars, streams  # noqa: E402, F401
