@@ -113,3 +113,34 @@ def test_cascade_keeps_every_list_short():
     # The last list holds what is older than 300 s, an hour and a day together: 110,000 s, a day apart.
     assert [len(x) for x in lists] == [30, 30, 24, 2]
     assert all(b[0] - a[0] >= span for x, (_, span) in zip(lists, ((30, 10), (30, 120), (24, 3600), (30, 86400)), strict=True) for a, b in zip(x, x[1:], strict=False))
+
+
+def test_readable_bytes(spark):
+    cases = [(0, "0.00&nbsp;bytes"), (1 << 20, "1048576.00&nbsp;bytes"), ((1 << 20) + 131072, "1.12&nbsp;MB"), (3 * (1 << 17) * 3, "1.12&nbsp;MB"), ((1 << 30) - 1, "1024.00&nbsp;MB"), (5 << 50, "5.00&nbsp;PB"), (None, None)]
+    df = spark.createDataFrame(cases, "v long, want string")
+    assert [r for r in df.select("v", T.readable_bytes(F.col("v")).alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_parse_iso(spark):
+    cases = [("1970-01-01T00:00:00.000001Z", 1), ("1969-12-31T23:59:59.999999Z", -1), ("2016-02-29T04:11:44.429777Z", 1456719104429777), ("2015-02-29T00:00:00.000000Z", None), ("2016-02-06T24:00:00.000000Z", None), ("2016-02-06 04:11:44.429777Z", None), ("2016-02-06T04:11:44.429777Z\n", None), ("", None), (None, None)]
+    df = spark.createDataFrame(cases, "s string, want long")
+    assert [r for r in df.select("s", T.parse_iso(F.col("s")).alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_override(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": None, "c": "3"}), ({}, {"a": "1"}), ({"a": "1"}, {})], "x map<string,string>, y map<string,string>")
+    assert [r[0] for r in df.select(T.override(F.col("x"), F.col("y"))).collect()] == [{"a": "1", "b": None, "c": "3"}, {"a": "1"}, {"a": "1"}]
+
+
+def test_listed_object(spark):
+    df = spark.createDataFrame([("<L><Contents><Key>a&amp;b</Key><Size>7</Size></Contents></L>",), ("<L></L>",)], "x string")
+    rows = df.select(T.listed_object(F.col("x")).alias("o")).select("o.Key", "o.Size").collect()
+    assert [tuple(r) for r in rows] == [("a&b", 7), (None, None)]
+
+
+def test_inflate(spark):
+    import gzip
+
+    raw = [b"", b"\x1f", b"plain", gzip.compress(b""), gzip.compress(b"a") + gzip.compress(b"b"), None]
+    df = spark.createDataFrame([(b,) for b in raw], "b binary").coalesce(1)
+    assert [None if r[0] is None else bytes(r[0]) for r in df.select(cs.inflate("b")).collect()] == [b"", b"\x1f", b"plain", b"", b"ab", None]
