@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treeline.api import Namespace
 from treeline.lens import Lens
 from treeline.operators import namespace, oplog, placement
-from treeline.sources import checkpoint_text, chunkmap, log_text
+from treeline.sources import audit_text, checkpoint_text, chunkmap, counters_csv, log_text
 
 from .conftest import SF
 
@@ -148,3 +148,60 @@ def test_rebalance_ends(lens):
     new = placement.new_copies(wanted, lens.replicas, lens.places)
     clash = lens.replicas.join(racks, "server_id").select("chunk_id", "rack")
     assert new.count() > 0 and new.join(racks, F.col("to_server") == F.col("server_id")).join(clash, ["chunk_id", "rack"]).count() == 0
+
+
+def test_evacuation_ends(lens):
+    """Rounds empty the servers that leave; no copy is lost, none meets another of its chunk."""
+    leaving = lens.places.filter("server_id % 7 = 3")
+    held, rounds = lens.replicas, 0
+    while True:
+        plan = placement.evacuate(lens.files, held, lens.places, leaving).cache()
+        if plan.count() == 0:
+            break
+        assert plan.join(leaving, plan.to_server == leaving.server_id).count() == 0
+        held, rounds = placement.apply_plan(held, plan).cache(), rounds + 1
+    assert 1 <= rounds <= 8
+    assert held.join(leaving, "server_id", "left_semi").count() == 0 and held.count() == lens.replicas.count()
+    twice = lambda r: r.groupBy("chunk_id", "server_id").count().filter("count > 1").count()
+    assert twice(held) <= twice(lens.replicas)
+
+
+def test_evacuation_of_small_stores(spark):
+    """A block of a striped file goes to the rack with the fewest of its chunks; with every rack in use, to the least used."""
+    files = spark.createDataFrame([(1, 2, 1, 1), (2, 0, 0, 2)], "fid long, num_stripes long, num_recovery long, num_replicas long")
+    servers = spark.createDataFrame([(0, 0, 1000), (1, 0, 1000), (2, 1, 1000), (3, 1, 1000), (4, 1, 1000), (5, None, 1000)], "server_id long, rack long, total long")
+    rows = [(1, 0, 10, 0, 0), (1, 1, 11, 0, 2), (1, 2, 12, 0, 3), (1, 3, 13, 0, 0), (2, 0, 20, 0, 0), (2, 0, 20, 1, 2)]
+    held = spark.createDataFrame(rows, "fid long, idx long, chunk_id long, k long, server_id long").withColumn("size", F.lit(1).cast("long"))
+    leaving = spark.createDataFrame([(0,), (5,), (77,), (0,)], "server_id long")
+    got = {r.chunk_id: (r.from_server, r.to_server, r.beside) for r in placement.evacuate(files, held, servers, leaving).collect()}
+    assert got[10] == (0, 1, 0) and got[20] == (0, 1, 0)
+    assert got[13][0] == 0 and got[13][1] in (1, 2, 3, 4) and set(got) == {10, 13, 20}
+    full = placement.evacuate(files, held, servers.filter("rack = 1 OR server_id = 0"), leaving).collect()
+    assert {r.chunk_id: r.beside for r in full} == {10: 2, 13: 0, 20: 1}
+    assert all(r.to_server != 2 for r in full if r.chunk_id == 20)
+    assert placement.evacuate(files, held, servers, leaving.filter("server_id = 99")).count() == 0
+    assert placement.evacuate(files, held, servers.filter("server_id = 0"), leaving).count() == 0
+    assert [tuple(r) for r in placement.crowded_racks(files, held, servers).collect()] == [(1, 0, 1, 2)]
+
+
+def test_waiting_for_servers(spark):
+    servers = spark.range(4).withColumnRenamed("id", "server_id")
+    down = spark.createDataFrame([(1, 100), (2, 40), (3, 50), (2, 90)], "server_id long, since long")
+    assert sorted(r[0] for r in placement.counted(servers, down, 150, 100).collect()) == [0, 1]
+
+
+def test_audit_log_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("LOOKUP", "a: b", 5, 0), ("REMOVE", None, None, -2)], "op string, h string, uid long, status long")
+    rows = rows.select(audit_text.record(F.col("op"), [("Path", F.col("h")), ("Status", F.lit("9"))], F.lit("10.0.0.1"), F.col("uid"), F.col("status")).alias("value"))
+    audit_text.write(rows, str(tmp_path / "audit"))
+    got = sorted(tuple(r)[:4] for r in audit_text.read(spark, str(tmp_path / "audit")).collect())
+    assert got == [("LOOKUP", "10.0.0.1", 5, 0), ("REMOVE", "10.0.0.1", None, -2)]
+    odd = spark.createDataFrame([("",), (None,), ("X",), ("Y\r\nStatus: ten\r\nno header",)], "value string")
+    assert sorted((r.op, r.status, len(r.headers)) for r in audit_text.parse(odd).collect()) == [("X", None, 0), ("Y", None, 1)]
+
+
+def test_counters_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", 5, " 7 "), ("s2", None, "x")], "`server` string, `Reads` long, ` Writes` string")
+    counters_csv.write(rows, str(tmp_path / "csv"))
+    got = {(r.server, r.counter): r.value for r in counters_csv.read(spark, str(tmp_path / "csv"), "server").collect()}
+    assert got == {("s1", "Reads"): 5, ("s1", "Writes"): 7, ("s2", "Reads"): None, ("s2", "Writes"): None}

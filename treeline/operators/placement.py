@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PLACEMENT_LIMIT
 
+MIX = 1000003
+
 
 def usage(replicas: DataFrame, servers: DataFrame) -> DataFrame:
     """(server_id, rack, chunks, used, total, util): util in millionths."""
@@ -125,3 +127,60 @@ def plan_counters(plan: DataFrame, replicas: DataFrame) -> DataFrame:
     rows = moves.select("size", F.explode(ends).alias("end")).select("size", "end.server_id", (F.col("end.out") == 1).alias("out"))
     n, size = (lambda c: F.count_if(c)), (lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0).cast("long")))
     return rows.groupBy("server_id").agg(n(F.col("out")).alias("sent"), size(F.col("out")).alias("sent_bytes"), n(~F.col("out")).alias("got"), size(~F.col("out")).alias("got_bytes"))
+
+
+def grouped(files: DataFrame, replicas: DataFrame) -> DataFrame:
+    """``replicas`` with ``grp``: what should lie on different racks, namely the copies of a chunk (its index), or
+    the chunks of one block (its number) of a striped file that has a single copy of each."""
+    kinds = files.select("fid", "num_stripes", "num_recovery", "num_replicas")
+    striped = (F.col("num_stripes") > 0) & (F.col("num_replicas") == 1)
+    block = F.call_function("div", F.col("idx"), F.col("num_stripes") + F.col("num_recovery"))
+    return replicas.join(kinds, "fid").withColumn("grp", F.when(striped, block).otherwise(F.col("idx"))).drop(*kinds.columns[1:])
+
+
+def crowded_racks(files: DataFrame, replicas: DataFrame, servers: DataFrame) -> DataFrame:
+    """(fid, grp, rack, copies) where a rack holds more than one of a group (``grouped``)."""
+    rows = grouped(files, replicas).join(servers.select("server_id", "rack"), "server_id")
+    return rows.groupBy("fid", "grp", "rack").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+def _mix(chunk: Column, server: Column) -> Column:
+    """A number that depends on both, below a prime."""
+    a = (chunk % MIX + server * 104729) % MIX
+    b = a * a % MIX
+    return (b + server) * (b + 7919) % MIX
+
+
+def evacuate(files: DataFrame, replicas: DataFrame, servers: DataFrame, leaving: DataFrame, limit: float = PLACEMENT_LIMIT) -> DataFrame:
+    """(fid, chunk_id, from_server, to_server, beside) of one round: a copy of each group on servers (server_id) that are leaving.
+
+    The target is a server that stays, is not over ``limit`` and does not hold the chunk, on the rack with the
+    fewest copies of the group that stay (``beside``); among those a mix of chunk and server decides, so a rack
+    is chosen in proportion to its servers and no server is everyone's first choice.  Groups with a second
+    leaving copy, or without a target, wait for the next round (``apply_plan`` in between).
+
+    A group has at most as many copies as a block has chunks; the servers are one row that each group with a
+    leaving copy passes through.
+    """
+    gone = leaving.select("server_id", F.lit(True).alias("leaves")).distinct()
+    known = servers.select("server_id", "rack").join(gone, "server_id", "left").withColumn("leaves", F.coalesce("leaves", F.lit(False)))
+    able = usage(replicas, servers).filter(F.col("util") <= int(limit * 1000000)).join(gone, "server_id", "left_anti")
+    offers = able.agg(F.collect_list(F.struct("server_id", "rack")).alias("offers"))
+    rows = grouped(files, replicas).join(known, "server_id")
+    copies = rows.groupBy("fid", "grp").agg(F.collect_list(F.struct("chunk_id", "k", "server_id", "rack", "leaves")).alias("copies"))
+    first = F.array_min(F.filter("copies", lambda c: c["leaves"])).alias("out")
+    moving = copies.filter(F.exists("copies", lambda c: c["leaves"])).select("fid", first, "copies").join(F.broadcast(offers))  # one row, of the servers
+    out = F.col("out")
+    free = F.filter("offers", lambda o: ~F.exists("copies", lambda c: (c["chunk_id"] == out["chunk_id"]) & (c["server_id"] == o["server_id"])))
+    beside = lambda o: F.size(F.filter("copies", lambda c: ~c["leaves"] & (c["rack"] == o["rack"]))).cast("long")
+    best = F.array_min(F.transform(free, lambda o: F.struct(beside(o).alias("beside"), _mix(out["chunk_id"], o["server_id"]).alias("mix"), o["server_id"].alias("to_server"))))
+    # A generator's output, as a filter on the expression itself would compute it a second time.
+    placed = moving.select("fid", "out", F.explode_outer(F.array(best)).alias("best")).filter("best IS NOT NULL")
+    return placed.select("fid", "out.chunk_id", F.col("out.server_id").alias("from_server"), "best.to_server", "best.beside")
+
+
+def counted(servers: DataFrame, down: DataFrame, now: int, window: int) -> DataFrame:
+    """``servers`` whose copies count: those not in ``down`` (server_id, since), and those down for less than ``window``
+    microseconds, as a server that hibernates is waited for before its chunks are copied anew."""
+    late = down.filter(F.col("since") + window <= now)
+    return servers.join(late.select("server_id"), "server_id", "left_anti")

@@ -13,8 +13,9 @@ from ..lens import Lens, micros
 from ..operators import counters as c
 from ..operators import layout as lo
 from ..operators import placement as pl
+from ..sources import audit_text, counters_csv
 from .catalog import query
-from .integrity import REBALANCE_SQL, VARIATION
+from .integrity import NOW_US, REBALANCE_SQL, VARIATION
 
 
 @query("""SELECT fid, CASE WHEN v > 1125899906842624 THEN printf('%.2f&nbsp;PB', v / 1125899906842624::DOUBLE) WHEN v > 1099511627776 THEN printf('%.2f&nbsp;TB', v / 1099511627776::DOUBLE)
@@ -84,3 +85,50 @@ def replication_candidates(x: Lens):
 SELECT server_id, count(*) FILTER (o = 1) AS sent, coalesce(sum(size) FILTER (o = 1), 0)::BIGINT AS sent_bytes, count(*) FILTER (o = 0) AS got, coalesce(sum(size) FILTER (o = 0), 0)::BIGINT AS got_bytes FROM e GROUP BY 1""")
 def rebalance_counters(x: Lens):
     return pl.plan_counters(pl.plan_round(x.replicas, x.places, VARIATION), x.replicas)
+
+
+GROUPS_SQL = """, g AS (SELECT r.fid, CASE WHEN num_stripes > 0 AND num_replicas = 1 THEN r.idx // (num_stripes + num_recovery) ELSE r.idx END AS grp, chunk_id, k, r.server_id, rack
+FROM replicas r JOIN files f ON f.fid = r.fid JOIN servers s ON s.server_id = r.server_id)"""
+
+
+@query(GROUPS_SQL + " SELECT fid, grp, rack, count(*) AS copies FROM g GROUP BY ALL HAVING count(*) > 1")
+def crowded_racks(x: Lens):
+    return pl.crowded_racks(x.files, x.replicas, x.places)
+
+
+@query(GROUPS_SQL + """, m AS (SELECT * FROM g WHERE server_id % 7 = 3 QUALIFY row_number() OVER (PARTITION BY fid, grp ORDER BY chunk_id, k) = 1),
+n AS (SELECT fid, grp, rack, count(*) AS n FROM g WHERE server_id % 7 <> 3 GROUP BY ALL),
+t AS (SELECT m.fid, m.grp, m.chunk_id, m.server_id AS from_server, s.server_id AS to_server, coalesce(n, 0) AS beside, (m.chunk_id % 1000003 + s.server_id * 104729) % 1000003 AS h
+FROM m CROSS JOIN servers s LEFT JOIN n ON n.fid = m.fid AND n.grp = m.grp AND n.rack = s.rack WHERE s.server_id % 7 <> 3 AND used * 1000000 // total <= 950000),
+u AS (SELECT t.* FROM t ANTI JOIN replicas r ON r.chunk_id = t.chunk_id AND r.server_id = t.to_server)
+SELECT fid, chunk_id, from_server, to_server, beside FROM u QUALIFY row_number() OVER (PARTITION BY fid, grp ORDER BY beside, (h * h % 1000003 + to_server) * (h * h % 1000003 + 7919) % 1000003, to_server) = 1""")
+def evacuation_plan(x: Lens):
+    return pl.evacuate(x.files, x.replicas, x.places, x.places.filter("server_id % 7 = 3"))
+
+
+@query(""", live AS (SELECT chunk_id, count(*) AS n FROM replicas WHERE server_id % 7 <> 0 OR server_id < 42 GROUP BY 1)
+SELECT c.fid, c.chunk_id, coalesce(n, 0) AS have, num_replicas AS want, CASE WHEN n > 0 THEN 'replication' WHEN num_stripes > 0 THEN 'recovery' ELSE 'pending' END AS state
+FROM chunks c JOIN files f ON f.fid = c.fid LEFT JOIN live l ON l.chunk_id = c.chunk_id WHERE coalesce(n, 0) < num_replicas""")
+def hibernation_candidates(x: Lens):
+    """Chunks to copy anew while servers hibernate: every seventh went down as many minutes ago as its id says, and is waited for 42 minutes."""
+    down = x.places.filter("server_id % 7 = 0").select("server_id", (F.lit(NOW_US) - F.col("server_id") * 60_000_000).alias("since"))
+    return pl.short_of_copies(x.chunks, x.files, x.replicas, pl.counted(x.places, down, NOW_US, 42 * 60_000_000))
+
+
+@query("""SELECT upper(op) AS op, CASE WHEN seq % 5 <> 0 THEN uid END AS uid, count(*) AS requests, count(*) FILTER (NOT committed) AS errors, sum(arg)::BIGINT AS args FROM oplog GROUP BY ALL""")
+def audit_summary(x: Lens):
+    """Requests and errors by kind and user, from the text of an audit log; every fifth request has no user."""
+    ops = x.oplog
+    uid = F.when(F.col("seq") % 5 != 0, F.col("uid"))
+    headers = [("Cseq", F.col("seq")), ("Arg", F.col("arg")), ("Status", F.lit("sent: by a client"))]
+    text = audit_text.record(F.upper("op"), headers, F.concat(F.lit("10.0.0."), F.col("uid") % 256), uid, F.when(F.col("committed"), 0).otherwise(-5))
+    rows = audit_text.parse(ops.select(text.alias("value")))
+    return rows.groupBy("op", "uid").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") < 0).alias("errors"), F.sum(F.col("headers")["Arg"].cast("long")).alias("args"))
+
+
+@query(""", w AS (SELECT server, count(*) AS samples, sum(value)::BIGINT AS total, max(value) AS highest FROM samples GROUP BY 1)
+SELECT server::VARCHAR AS server, counter, value FROM (UNPIVOT w ON samples, total, highest INTO NAME counter VALUE value)""")
+def counters_long(x: Lens):
+    """A row for each server's counter, from one with all of them."""
+    wide = x.samples.groupBy("server").agg(F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total"), F.max("value").alias(" highest "))
+    return counters_csv.long_form(wide, "server")
