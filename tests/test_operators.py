@@ -205,3 +205,23 @@ def test_counters_round_trip(spark, tmp_path):
     counters_csv.write(rows, str(tmp_path / "csv"))
     got = {(r.server, r.counter): r.value for r in counters_csv.read(spark, str(tmp_path / "csv"), "server").collect()}
     assert got == {("s1", "Reads"): 5, ("s1", "Writes"): 7, ("s2", "Reads"): None, ("s2", "Writes"): None}
+
+
+def test_copy(lens):
+    """Copies keep the shape, the sizes and the chunks; their ids are new, and what cannot be copied is refused."""
+    schema = lens.fattr.schema
+    tree = [(2, 2, "/", "dir", 0), (5, 2, "a", "dir", 0), (6, 5, "b", "dir", 0), (7, 6, "f", "file", 9), (8, 2, "g", "file", 1)]
+    rows = [tuple(dict(zip(("fid", "parent", "name", "type", "size"), t)).get(c, 0) for c in schema.names) for t in tree]
+    chunks = lens.spark.createDataFrame([(7, 0, 70, 0, 1, 9, 0), (8, 0, 80, 0, 1, 1, 0)], "fid long, idx long, chunk_id long, offset long, version long, size long, suppkey long")
+    ns = Namespace(lens.spark.createDataFrame(rows, schema).coalesce(1), chunks, lens.replicas.limit(0))
+    after = ns.copy("/a", "/c")
+    assert sorted(r.path for r in after.paths().collect()) == ["/", "/a", "/a/b", "/a/b/f", "/c", "/c/b", "/c/b/f", "/g"]
+    copied = after.lookup("/c/b/f").first()
+    assert copied.size == 9 and copied.fid not in range(9)
+    assert [(r.chunk_id > 80, r.size) for r in after.chunks.filter(F.col("fid") == copied.fid).collect()] == [(True, 9)]
+    assert after.chunks.count() == 3 and after.fattr.select("fid").distinct().count() == 8
+    assert ns.copy("/g", "/a").is_file("/a/g")
+    for path, to, code in [("/a", "/g", "EEXIST"), ("/a", "/a/b", "EINVAL"), ("/none", "/c", "ENOENT"), ("/a", "/none/c", "ENOENT")]:
+        with pytest.raises(OSError) as e:
+            ns.copy(path, to)
+        assert errno.errorcode[e.value.errno] == code

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .constants import MAX_NAME, MAX_TIER, ROOT
 from .functions import text as T
 from .lens import Lens
-from .operators import layout, namespace, replay
+from .operators import layout, mutations, namespace, replay
 from .sources import checkpoint_text
 
 
@@ -201,6 +201,17 @@ class Namespace:
         fattr = self.fattr.join(mine, "fid", "left").select(*[new.get(c, F.col(c)) for c in self.fattr.columns])
         return Namespace(fattr, self.chunks, self.replicas, self.depth)
 
+    def copy(self, path: str, to: str) -> Namespace:
+        """A recursive copy; into ``to`` if that is a directory, as the command line has it.  Chunks of the copy have no replicas yet."""
+        if self.is_dir(to):
+            to = f"{to.rstrip('/')}/{path.rstrip('/').rpartition('/')[2]}"
+        at, (parent, name) = self._one(path), self._place(to)
+        bad = errno.EEXIST if self.exists(to) else errno.EINVAL if at.fid == ROOT or f"{to}/".startswith(f"{path.rstrip('/')}/") else 0
+        if bad:
+            raise OSError(bad, os.strerror(bad), to)
+        entries, chunks = mutations.copy_tree(self.fattr, self.chunks, self.below(path), at.fid, parent, name)
+        return Namespace(self.fattr.union(entries), self.chunks.union(chunks), self.replicas)
+
     def compact(self, ops: DataFrame, path: str, seq: int) -> None:
         """Replays a log and writes the state as a new checkpoint."""
         checkpoint_text.write(self.apply(ops).fattr, self.chunks, path, seq)

@@ -143,3 +143,23 @@ def workload(spark, levels: int, fan_out: int, files: int) -> DataFrame:
         out = out.union(level.select("path", F.lit("dir").alias("type")))
     leaf = level.select(F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("i"), "path").select(F.concat("path", F.lit("/file_"), "i").alias("path"), F.lit("file").alias("type"))
     return out.union(leaf)
+
+
+def copy_tree(fattr: DataFrame, chunks: DataFrame, inside: DataFrame, top: int, parent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, chunks) of a recursive copy of the entry ``top`` to ``name`` in the directory ``parent``.
+
+    ``inside``: the attributes of ``top`` and of all below it.  Copies get the ids of what they copy, shifted past the
+    greatest in use, so that parents and children need no join to find each other; their chunks have no replicas yet.
+    """
+    shift = lambda df, c: F.broadcast(df.agg((F.coalesce(F.max(c), F.lit(0)) + 1).alias("shift")))  # one row
+    is_top = F.col("fid") == top
+    new = {
+        "parent": F.when(is_top, F.lit(parent).cast("long")).otherwise(F.col("parent") + F.col("shift")),
+        "name": F.when(is_top, F.lit(name)).otherwise(F.col("name")), "fid": F.col("fid") + F.col("shift"),
+    }
+    by = shift(fattr, "fid")
+    entries = inside.crossJoin(by).select(*[new.get(c, F.col(c)).alias(c) for c in fattr.columns])
+    of = chunks.join(inside.filter("type = 'file'").select("fid"), "fid", "left_semi").crossJoin(by)
+    ids = shift(chunks, "chunk_id").withColumnRenamed("shift", "by")
+    moved = {"fid": F.col("fid") + F.col("shift"), "chunk_id": F.col("chunk_id") + F.col("by")}
+    return entries, of.crossJoin(ids).select(*[moved.get(c, F.col(c)).alias(c) for c in chunks.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..api import Namespace
 from ..lens import Lens
 from ..operators import mutations as mu
 from .catalog import query
@@ -67,6 +68,17 @@ def remove_recursive(x: Lens):
     return mu.remove_trees(x.fattr, x.dirs, roots, x.DEPTH).select("fid", "type")
 
 
+@query(""", t AS (SELECT * FROM fattr WHERE fid = 12 OR fid IN (SELECT fid FROM anc WHERE a = 12)), k AS (SELECT max(fid) + 1 AS k FROM fattr), c AS (SELECT max(chunk_id) + 1 AS c FROM chunks),
+n AS (SELECT fid, count(*) AS chunks, min(chunk_id + c) AS first_chunk FROM chunks, c GROUP BY fid)
+SELECT t.fid + k AS fid, CASE WHEN t.fid = 12 THEN 10 ELSE parent + k END AS parent, CASE WHEN t.fid = 12 THEN 'copy' ELSE name END AS name, type, size, coalesce(chunks, 0) AS chunks, first_chunk
+FROM t CROSS JOIN k LEFT JOIN n ON n.fid = t.fid""")
+def copy_tree(x: Lens):
+    """What a recursive copy of one region into another makes, with the chunks of each file."""
+    entries, chunks = mu.copy_tree(x.fattr, x.chunks, Namespace.of(x).below("/ASIA"), 12, 10, "copy")
+    of = chunks.groupBy("fid").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+    return entries.join(of, "fid", "left").select("fid", "parent", "name", "type", "size", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), "first_chunk")
+
+
 @query(""", r AS (SELECT fid, max(us) AS us FROM oplog WHERE op = 'remove' AND committed GROUP BY fid), t AS (SELECT quantile_disc(us, 0.5) AS m FROM oplog)
 SELECT fid FROM files WHERE fid IN (SELECT fid FROM r WHERE us < 1704800000000000)""")
 def dumpster_cleanup(x: Lens):
