@@ -1,9 +1,10 @@
 """A deterministic view of the star schema as the tables of a file store.
 
 Every table is a DataFrame of whole source tables.  Chunks, files and replicas are
-what queries join most: they are written once in an application, bucketed by file
-id (``storage.stored``).  ``SQL_TABLES`` says the same in DuckDB's SQL, for the
-oracles.
+what queries join most: line items and orders are exchanged by file id, into as many
+partitions as their size asks for, and all three are computed within these.  Nothing
+is written, so a query moves the columns and rows that it needs alone.
+``SQL_TABLES`` says the same in DuckDB's SQL, for the oracles.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .constants import CHUNK
-from .storage import stored
+from .storage import parts_for, size_of
 
 
 def micros(column: str):
@@ -32,8 +33,10 @@ class Lens:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stored(self, name: str, sources: tuple[str, ...], order: list[str], make) -> DataFrame:
-        return stored(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in sources], "fid", order, make)
+    @cached_property
+    def parts(self) -> int:
+        """Partitions by file id."""
+        return parts_for(self.spark, size_of(self.spark, f"{self.sf_dir}/lineitem.parquet"))
 
     @cached_property
     def dirs(self) -> DataFrame:
@@ -45,28 +48,29 @@ class Lens:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.stored("chunks", ("lineitem",), ["fid", "idx"], self._chunks)
-
-    def _chunks(self) -> DataFrame:
-        cols = self.table("lineitem").columns
-        idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*cols)).cast("long") - 1
-        c = self.table("lineitem").withColumn("idx", idx)
+        # What follows in the order of the SQL makes no difference to a chunk.
+        order = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+        c = self.table("lineitem").select((F.lit(1000000000).cast("long") + F.col("l_orderkey")).alias("fid"), *order).repartition(self.parts, "fid")
+        c = c.withColumn("idx", F.row_number().over(Window.partitionBy("fid").orderBy(*order)).cast("long") - 1)
         size = f"cast(round(l_extendedprice * 100) AS bigint) % {CHUNK + 1}"
         return c.selectExpr(
-            "1000000000L + l_orderkey AS fid", "idx", "(1000000000L + l_orderkey) * 1000 + idx AS chunk_id",
-            f"idx * {CHUNK} AS offset", "1 + l_partkey % 7 AS version", f"{size} AS size", "l_suppkey AS suppkey",
+            "fid", "idx", "fid * 1000 + idx AS chunk_id", f"idx * {CHUNK} AS offset",
+            "1 + l_partkey % 7 AS version", f"{size} AS size", "l_suppkey AS suppkey",
         )
 
     @cached_property
     def files(self) -> DataFrame:
         """Attributes of files; sizes and chunk counts from their chunks."""
-        return self.stored("files", ("orders", "lineitem"), ["fid"], self._files)
-
-    def _files(self) -> DataFrame:
         per_file = self.chunks.groupBy("fid").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        size = F.when((F.col("fid") - 1000000000) % 97 == 0, F.lit(0)).otherwise(F.coalesce("bytes", F.lit(0))).cast("long")
+        return self.attributes.repartition(self.parts, "fid").join(per_file, "fid", "left").withColumn("size", size).withColumn("chunk_count", F.coalesce("n", F.lit(0)).cast("long")).drop("bytes", "n")
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        """What files have without their chunks."""
         o = self.table("orders").withColumn("mtime", micros("o_orderdate"))
-        o = o.selectExpr(
-            "1000000000L + o_orderkey AS fid", "1000000L + o_custkey AS parent", "concat('o', o_orderkey) AS name", "o_orderkey AS okey",
+        return o.selectExpr(
+            "1000000000L + o_orderkey AS fid", "1000000L + o_custkey AS parent", "concat('o', o_orderkey) AS name",
             "CASE WHEN o_orderstatus = 'F' THEN 1L ELSE 1 + o_orderkey % 3 END AS num_replicas",
             "CASE WHEN o_orderstatus = 'F' THEN 2L ELSE 0L END AS num_stripes",
             "CASE WHEN o_orderstatus = 'F' THEN 1L ELSE 0L END AS num_recovery",
@@ -75,8 +79,6 @@ class Lens:
             "CASE o_orderkey % 4 WHEN 0 THEN 420L WHEN 1 THEN 384L WHEN 2 THEN 493L ELSE 292L END AS mode",
             "o_orderkey % 4 AS min_tier", "least(15L, o_orderkey % 4 + o_orderkey % 3) AS max_tier", "mtime",
         )
-        size = F.when(F.col("okey") % 97 == 0, F.lit(0)).otherwise(F.coalesce("bytes", F.lit(0))).cast("long")
-        return o.join(per_file, "fid", "left").withColumn("size", size).withColumn("chunk_count", F.coalesce("n", F.lit(0)).cast("long")).drop("bytes", "n", "okey")
 
     @cached_property
     def fattr(self) -> DataFrame:
@@ -86,11 +88,8 @@ class Lens:
 
     @cached_property
     def replicas(self) -> DataFrame:
-        return self.stored("replicas", ("lineitem", "orders", "supplier"), ["fid", "idx", "k"], self._replicas)
-
-    def _replicas(self) -> DataFrame:
         n = self.table("supplier").agg(F.count(F.lit(1)).alias("n_servers"))
-        c = self.chunks.join(self.files.select("fid", "num_replicas"), "fid").join(F.broadcast(n))
+        c = self.chunks.join(self.attributes.select("fid", "num_replicas").repartition(self.parts, "fid"), "fid").join(F.broadcast(n))
         r = c.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_replicas") - 1))).filter("(chunk_id + 13 * k) % 29 <> 0")
         late = "CASE WHEN (chunk_id + k) % 41 = 0 THEN 1 ELSE 0 END"
         return r.selectExpr("fid", "idx", "chunk_id", "k", "(suppkey + 37 * k) % n_servers AS server_id", f"version - {late} AS version", "size")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import CHUNK
 from ..lens import Lens
 from ..operators import layout as lay
+from ..storage import small
 from .catalog import query
 
 @query("""SELECT chunk_id, "offset", version, coalesce((SELECT string_agg(server_id::VARCHAR, ',' ORDER BY server_id) FROM replicas r WHERE r.chunk_id = c.chunk_id), '') AS servers,
@@ -24,7 +25,7 @@ def file_chunks(x: Lens):
 @query("SELECT chunk_id, k, host, port, rack, version FROM replicas JOIN servers USING (server_id)")
 def chunk_locations(x: Lens):
     s = x.places.drop("total")
-    return x.replicas.join(s, "server_id").select("chunk_id", "k", "host", "port", "rack", "version")
+    return x.replicas.join(small(s), "server_id").select("chunk_id", "k", "host", "port", "rack", "version")
 
 
 @query("""SELECT fid, max(chunk_id) AS chunk_id, max("offset") AS "offset" FROM chunks GROUP BY fid""")

@@ -1,14 +1,13 @@
-"""Tables that are written once and read by many queries of a session."""
+"""Folders that executors share, and sizes of what is exchanged and broadcast."""
 
 from __future__ import annotations
 
 import atexit
-import hashlib
 import shutil
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOT: str | None = None
 
@@ -27,28 +26,21 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL_ROOT}"
 
 
-def _status(spark: SparkSession, path: str):
-    """Length and time of a file or folder, None if there is none."""
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder in any store that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    s = fs.getFileStatus(p)
-    return s.getLen(), s.getModificationTime()
-
-
-def stored(spark: SparkSession, name: str, sources: list[str], key: str, order: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives, bucketed by ``key`` and sorted by ``order`` within a bucket.
-
-    It is written by the first call of an application and read by the later ones, for as long as the
-    length and time of the ``sources`` stay the same.  Joins and groups by ``key`` need no exchange then.
-    """
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = repr([(s, _status(spark, s)) for s in sources])
-    tag = hashlib.sha256(f"{spark.sparkContext.applicationId}|{buckets}|{seen}".encode()).hexdigest()[:16]
-    table, path = f"treeline_{name}_{tag}", f"{shared_root(spark)}/treeline/{name}-{tag}"
-    if not spark.catalog.tableExists(table) or _status(spark, f"{path}/_SUCCESS") is None:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        rows = make().repartition(buckets, key)
-        rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def parts_for(spark: SparkSession, size: int, part: int = 4 << 20) -> int:
+    """Partitions of an exchange of ``size`` bytes of Parquet: the session's number, or more where one would be over ``part``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part))
+
+
+#: Rows of a table of servers that is sent to every executor; a longer one is exchanged.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows, which are counted, are few."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
