@@ -41,3 +41,33 @@ def test_nothing_is_written_by_a_lens(spark):
 def test_locations_move_line_items_and_orders_once(plan):
     keys = exchanges(plan("chunk_locations"))
     assert len(keys) == 2 and all(k.startswith("fid#") for k in keys)
+
+
+def test_targets_are_those_of_all_pairs(spark):
+    """Racks that are full or unknown, servers that hold the chunk, negative ids: as if every server were looked at for every copy."""
+    from treeline.operators.placement import MIX, _Targets
+
+    rest = lambda x: abs(x) % MIX * (1 if x >= 0 else -1)
+    r = random.Random(3)
+    ids = r.sample(range(-50, 3_000_000), 60)
+    racks = [r.choice([7, 9, None]) for _ in ids]
+    chunks = sorted(r.randrange(MIX) for _ in range(300))
+    stay = [r.choices([7, 9, 11], k=r.randrange(5)) for _ in chunks]
+    held = [r.sample(ids, r.choice([0, 2, 20, 60])) for _ in chunks]
+
+    def key(c, s, k):
+        a = (c + s * 104729) % MIX
+        b = a * a % MIX
+        return 0 if k is None else stay[i].count(k), rest((b + s) * (b + 7919)), s
+
+    want = []
+    for i, c in enumerate(chunks):
+        best = min((key(c, s, k) for s, k in zip(ids, racks, strict=True) if s not in held[i]), default=None)
+        want.append(best and (best[2], best[0]))
+    import numpy as np
+
+    assert _Targets(ids, racks).place(np.array(chunks), stay, held) == want
+
+
+def test_an_evacuation_carries_no_servers_along(plan):
+    assert "offers" not in plan("evacuation_plan")

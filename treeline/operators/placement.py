@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PLACEMENT_LIMIT
+from ..storage import small
 
 MIX = 1000003
 
@@ -144,14 +149,87 @@ def crowded_racks(files: DataFrame, replicas: DataFrame, servers: DataFrame) ->
     return rows.groupBy("fid", "grp", "rack").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-def _mix(chunk: Column, server: Column) -> Column:
-    """A number that depends on both, below a prime."""
-    a = (chunk % MIX + server * 104729) % MIX
-    b = a * a % MIX
-    return (b + server) * (b + 7919) % MIX
+class _Targets:
+    """The servers that may take a copy, by rack, and the best of them for chunks.
 
+    Servers are in the order of their racks and numbered in the order of their ids.  For a chunk each has a key,
+    its mix times the number of servers plus its own number, so the least key is the least mix, ties by id.
+    """
 
-def evacuate(files: DataFrame, replicas: DataFrame, servers: DataFrame, leaving: DataFrame, limit: float = PLACEMENT_LIMIT) -> DataFrame:
+    #: Keys that are computed at once.
+    BLOCK = 1 << 16
+
+    def __init__(self, ids: list[int], racks: list):
+        # A rack that is not known is beside no copy.
+        self.codes = {r: i for i, r in enumerate(sorted({r for r in racks if r is not None}))}
+        code = np.array([self.codes.get(r, len(self.codes)) for r in racks], np.int64)
+        ids_ = np.array(ids, np.int64)
+        order = np.lexsort((ids_, code))
+        self.ids, self.code = ids_[order], code[order]
+        self.by_number = np.sort(self.ids)
+        self.number = np.searchsorted(self.by_number, self.ids).astype(float)
+        self.used, self.starts = np.unique(self.code, return_index=True)
+        self.step = (self.ids % MIX * 104729 % MIX).astype(float)
+        self.low = (self.ids % MIX).astype(float)
+
+    def keys(self, chunks: np.ndarray) -> np.ndarray:
+        """A row for each chunk (below ``MIX``), a column for each server; whole numbers below 2 ** 53, so floats are exact."""
+        a = chunks[:, None] + self.step
+        a -= (a >= MIX) * float(MIX)
+        a *= a
+        a -= np.floor(a / MIX) * MIX
+        mix = a + self.low
+        a += 7919
+        mix *= a
+        mix -= np.floor(mix / MIX) * MIX
+        negative = (self.ids < 0) & (mix > 0)  # a remainder has the sign of what is divided
+        if negative.any():
+            mix -= (negative & (np.remainder(a - 7919, MIX) + self.ids < 0)) * float(MIX)
+        mix *= len(self.ids)
+        mix += self.number
+        return mix
+
+    def id_of(self, key: np.ndarray) -> np.ndarray:
+        return self.by_number[np.remainder(key, len(self.ids)).astype(np.int64)]
+
+    def place(self, chunks: np.ndarray, stay: list[list], held: list[list[int]]) -> list[tuple[int, int] | None]:
+        """(server, beside) for copies of ``chunks``, which are in order: ``stay``, the racks of their group's copies that stay, ``held``, the servers with the chunk."""
+        out: list[tuple[int, int] | None] = []
+        each, first = np.unique(chunks, return_index=True)
+        ends = [*first[1:], len(chunks)]
+        rows = max(1, self.BLOCK // len(self.ids))
+        for at in range(0, len(each), rows):
+            keys = self.keys(each[at : at + rows].astype(float))
+            best = np.minimum.reduceat(keys, self.starts, axis=1)
+            for j in range(len(keys)):
+                for i in range(first[at + j], ends[at + j]):
+                    out.append(self._one(keys[j], best[j], stay[i], held[i]))
+        return out
+
+    def _one(self, keys, best, stay, held):
+        beside: dict[int, int] = {}
+        for r in stay:
+            if r in self.codes:
+                beside[self.codes[r]] = beside.get(self.codes[r], 0) + 1
+        n = np.zeros(len(self.used), np.int64)
+        for c, k in beside.items():
+            n[self.used == c] = k
+        least = n.min()
+        x = np.where(n == least, best, np.inf).argmin()
+        to = int(self.id_of(best[x]))
+        if to in held:  # by chance, or where every rack is full of copies: all servers are gone through
+            per = np.zeros(len(self.codes) + 1, np.int64)
+            per[self.used] = n
+            free = ~np.isin(self.ids, np.array(held, np.int64))
+            if not free.any():
+                return None
+            per = per[self.code]
+            least = per[free].min()
+            to = int(self.id_of(np.where(free & (per == least), keys, np.inf).min()))
+        return to, int(least)
+
+
+def evacuate(files: DataFrame, replicas: DataFrame, servers: DataFrame, leaving: DataFrame, limit: float = PLACEMENT_LIMIT, parts: int | None = None) -> DataFrame:
     """(fid, chunk_id, from_server, to_server, beside) of one round: a copy of each group on servers (server_id) that are leaving.
 
     The target is a server that stays, is not over ``limit`` and does not hold the chunk, on the rack with the
@@ -159,24 +237,37 @@ def evacuate(files: DataFrame, replicas: DataFrame, servers: DataFrame, leaving:
     is chosen in proportion to its servers and no server is everyone's first choice.  Groups with a second
     leaving copy, or without a target, wait for the next round (``apply_plan`` in between).
 
-    A group has at most as many copies as a block has chunks; the servers are one row that each group with a
-    leaving copy passes through.
+    The mix knows a chunk by its remainder below ``MIX`` alone.  Copies are dealt (to ``parts`` tasks) and ordered by
+    that, and the servers' mixes are computed once for each remainder, so never for more than ``MIX`` of them; a copy
+    then looks at the best server of each rack.  A group has at most as many copies as a block has chunks.  The ids and
+    racks of the servers that may take copies are brought to the driver and go to each worker.
     """
     gone = leaving.select("server_id", F.lit(True).alias("leaves")).distinct()
     known = servers.select("server_id", "rack").join(gone, "server_id", "left").withColumn("leaves", F.coalesce("leaves", F.lit(False)))
-    able = usage(replicas, servers).filter(F.col("util") <= int(limit * 1000000)).join(gone, "server_id", "left_anti")
-    offers = able.agg(F.collect_list(F.struct("server_id", "rack")).alias("offers"))
-    rows = grouped(files, replicas).join(known, "server_id")
+    able = usage(replicas, servers).filter(F.col("util") <= int(limit * 1000000)).join(gone, "server_id", "left_anti").select("server_id", "rack").toArrow()
+    rows = grouped(files, replicas).join(small(known), "server_id")
     copies = rows.groupBy("fid", "grp").agg(F.collect_list(F.struct("chunk_id", "k", "server_id", "rack", "leaves")).alias("copies"))
     first = F.array_min(F.filter("copies", lambda c: c["leaves"])).alias("out")
-    moving = copies.filter(F.exists("copies", lambda c: c["leaves"])).select("fid", first, "copies").join(F.broadcast(offers))  # one row, of the servers
-    out = F.col("out")
-    free = F.filter("offers", lambda o: ~F.exists("copies", lambda c: (c["chunk_id"] == out["chunk_id"]) & (c["server_id"] == o["server_id"])))
-    beside = lambda o: F.size(F.filter("copies", lambda c: ~c["leaves"] & (c["rack"] == o["rack"]))).cast("long")
-    best = F.array_min(F.transform(free, lambda o: F.struct(beside(o).alias("beside"), _mix(out["chunk_id"], o["server_id"]).alias("mix"), o["server_id"].alias("to_server"))))
-    # A generator's output, as a filter on the expression itself would compute it a second time.
-    placed = moving.select("fid", "out", F.explode_outer(F.array(best)).alias("best")).filter("best IS NOT NULL")
-    return placed.select("fid", "out.chunk_id", F.col("out.server_id").alias("from_server"), "best.to_server", "best.beside")
+    moving = copies.filter(F.exists("copies", lambda c: c["leaves"])).select("fid", first, "copies")
+    held = F.transform(F.filter("copies", lambda c: c["chunk_id"] == F.col("out")["chunk_id"]), lambda c: c["server_id"])
+    stay = F.transform(F.filter("copies", lambda c: ~c["leaves"] & c["rack"].isNotNull()), lambda c: c["rack"])
+    moving = moving.select("fid", "out.chunk_id", F.col("out.server_id").alias("from_server"), F.pmod("out.chunk_id", F.lit(MIX)).alias("mixed"), stay.alias("stay"), held.alias("held"))
+    moving = (moving.repartition(parts, "mixed") if parts else moving.repartition("mixed")).sortWithinPartitions("mixed")
+    schema = "fid long, chunk_id long, from_server long, to_server long, beside long"
+    if able.num_rows == 0:
+        return moving.sparkSession.createDataFrame([], schema)
+    targets = _Targets(able["server_id"].to_pylist(), able["rack"].to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            found = targets.place(b["mixed"].to_numpy(zero_copy_only=False), b["stay"].to_pylist(), b["held"].to_pylist())
+            keep = pa.array([f is not None for f in found])
+            to, beside = (pa.array([f and f[i] for f in found], pa.int64()) for i in (0, 1))
+            yield pa.record_batch([b["fid"], b["chunk_id"], b["from_server"], to, beside], ["fid", "chunk_id", "from_server", "to_server", "beside"]).filter(keep)
+
+    return moving.mapInArrow(run, schema)
 
 
 def counted(servers: DataFrame, down: DataFrame, now: int, window: int) -> DataFrame:

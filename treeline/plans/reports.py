@@ -103,7 +103,7 @@ FROM m CROSS JOIN servers s LEFT JOIN n ON n.fid = m.fid AND n.grp = m.grp AND n
 u AS (SELECT t.* FROM t ANTI JOIN replicas r ON r.chunk_id = t.chunk_id AND r.server_id = t.to_server)
 SELECT fid, chunk_id, from_server, to_server, beside FROM u QUALIFY row_number() OVER (PARTITION BY fid, grp ORDER BY beside, (h * h % 1000003 + to_server) * (h * h % 1000003 + 7919) % 1000003, to_server) = 1""")
 def evacuation_plan(x: Lens):
-    return pl.evacuate(x.files, x.replicas, x.places, x.places.filter("server_id % 7 = 3"))
+    return pl.evacuate(x.files, x.replicas, x.places, x.places.filter("server_id % 7 = 3"), parts=x.parts)
 
 
 @query(""", live AS (SELECT chunk_id, count(*) AS n FROM replicas WHERE server_id % 7 <> 0 OR server_id < 42 GROUP BY 1)
