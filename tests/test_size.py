@@ -71,3 +71,9 @@ def test_targets_are_those_of_all_pairs(spark):
 
 def test_an_evacuation_carries_no_servers_along(plan):
     assert "offers" not in plan("evacuation_plan")
+
+
+def test_a_layout_moves_one_file(plan):
+    lines = plan("getlayout").splitlines()
+    tables = [i for i, line in enumerate(lines) if "FileScan parquet" in line and ("lineitem" in line or "l_orderkey" in line)]
+    assert tables and all("= 1000000007" in "".join(lines[i - 2 : i]) for i in tables)
