@@ -77,3 +77,17 @@ def test_a_layout_moves_one_file(plan):
     lines = plan("getlayout").splitlines()
     tables = [i for i, line in enumerate(lines) if "FileScan parquet" in line and ("lineitem" in line or "l_orderkey" in line)]
     assert tables and all("= 1000000007" in "".join(lines[i - 2 : i]) for i in tables)
+
+
+def test_sizes_are_found_within_files(plan):
+    keys = exchanges(plan("compute_filesize"))
+    assert keys and all(k.startswith("fid#") for k in keys)
+
+
+def test_last_chunk_without_a_sized_copy(spark):
+    from treeline.operators.layout import effective_size
+
+    files = spark.createDataFrame([(1, -1), (2, -1), (3, 7), (4, -1)], "fid long, size long")
+    chunks = spark.createDataFrame([(1, 10, 0), (1, 11, 64 << 20), (2, 20, 0), (3, 30, 0)], "fid long, chunk_id long, offset long")
+    copies = spark.createDataFrame([(1, 10, 99), (1, 11, 5), (1, 11, 6), (2, 20, 0), (3, 30, 8)], "fid long, chunk_id long, size long")
+    assert sorted(map(tuple, effective_size(files, chunks, copies).collect())) == [(1, (64 << 20) + 6), (2, 64 << 20), (3, 7), (4, 0)]

@@ -61,9 +61,13 @@ def byte_ranges(ranges: DataFrame, chunks: DataFrame, replicas: DataFrame) -> Da
 
 
 def effective_size(files: DataFrame, chunks: DataFrame, replicas: DataFrame) -> DataFrame:
-    """(fid, size): files of unknown (negative) size end where the largest copy of their last chunk does."""
-    held = replicas.groupBy("chunk_id").agg(F.max(F.when(F.col("size") > 0, F.col("size"))).alias("held"))
-    ends = last_chunks(chunks).join(held, "chunk_id", "left").select("fid", (F.col("offset") + F.coalesce("held", F.lit(CHUNK))).alias("found"))
+    """(fid, size): files of unknown (negative) size end where the largest copy of their last chunk does.
+
+    Everything goes by file id: a file's last chunk meets the few sums of its copies, so tables that are partitioned by file stay where they are.
+    """
+    held = replicas.groupBy("fid", "chunk_id").agg(F.max(F.when(F.col("size") > 0, F.col("size"))).alias("held")).withColumnRenamed("chunk_id", "c")
+    found = last_chunks(chunks).join(held, "fid", "left").withColumn("held", F.when(F.col("chunk_id") == F.col("c"), F.col("held")))
+    ends = found.groupBy("fid").agg((F.max("offset") + F.coalesce(F.max("held"), F.lit(CHUNK))).alias("found"))
     return files.join(ends, "fid", "left").select("fid", F.when(F.col("size") >= 0, F.col("size")).otherwise(F.coalesce("found", F.lit(0))).cast("long").alias("size"))
 
 
