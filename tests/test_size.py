@@ -96,3 +96,8 @@ def test_last_chunk_without_a_sized_copy(spark):
 def test_a_report_checks_the_store_once(plan):
     text = plan("fsck_report")
     assert text.count("Union") == 1 and all(k.startswith("fid#") for k in exchanges(text))
+
+
+def test_worm_reads_no_chunks(plan):
+    text = plan("worm_violations")
+    assert "l_orderkey" not in text and "treeline_files" not in text and len(exchanges(text)) == 2

@@ -131,8 +131,9 @@ def list_paths(x: Lens):
 
 @query("SELECT seq, op, name FROM oplog JOIN files USING (fid) WHERE op IN ('create', 'remove', 'truncate') AND name NOT LIKE '%.tmp'")
 def worm_violations(x: Lens):
-    ops = x.oplog.filter(F.col("op").isin("create", "remove", "truncate"))
-    return ops.join(x.files.select("fid", "name"), "fid").filter(~F.col("name").endswith(".tmp")).select("seq", "op", "name")
+    ops = x.oplog.select("seq", "op", "fid").filter(F.col("op").isin("create", "remove", "truncate"))
+    names = x.attributes.select("fid", "name").repartition(x.parts, "fid")
+    return ops.repartition(x.parts, "fid").join(names, "fid").filter(~F.col("name").endswith(".tmp")).select("seq", "op", "name")
 
 
 @query("""SELECT size, CASE WHEN n >> 10 < 1024 THEN h0 WHEN n >> 20 < 1024 THEN h1 WHEN n >> 30 < 1024 THEN h2 ELSE h3 END AS human FROM
