@@ -101,3 +101,8 @@ def test_a_report_checks_the_store_once(plan):
 def test_worm_reads_no_chunks(plan):
     text = plan("worm_violations")
     assert "l_orderkey" not in text and "treeline_files" not in text and len(exchanges(text)) == 2
+
+
+def test_copies_are_counted_within_files(plan):
+    keys = exchanges(plan("replication_minmax"))
+    assert keys and all(k.startswith("fid#") for k in keys)

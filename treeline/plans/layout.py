@@ -85,10 +85,11 @@ def compute_filesize(x: Lens):
 @query("""SELECT c.fid, min(n) AS least, max(n) AS most, greatest(any_value(chunk_count), count(*)) AS chunks FROM
 (SELECT c.fid, c.chunk_id, count(r.k) AS n FROM chunks c LEFT JOIN replicas r ON r.chunk_id = c.chunk_id GROUP BY ALL) c JOIN files USING (fid) GROUP BY c.fid""")
 def replication_minmax(x: Lens):
-    held = x.replicas.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    per_chunk = x.chunks.select("fid", "chunk_id").join(held, "chunk_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    per_file = per_chunk.groupBy("fid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("listed"))
-    return per_file.join(x.files.select("fid", "chunk_count"), "fid").select("fid", "least", "most", F.greatest("chunk_count", "listed").alias("chunks"))
+    """A chunk that no copy of is listed counts as none: those are the chunks that a file has over those with copies."""
+    held = x.replicas.groupBy("fid", "chunk_id").agg(F.count(F.lit(1)).alias("n")).groupBy("fid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("held"))
+    per_file = x.chunks.groupBy("fid").agg(F.count(F.lit(1)).alias("listed")).join(held, "fid", "left").join(x.files.select("fid", "chunk_count"), "fid")
+    least = F.when(F.col("held") == F.col("listed"), F.col("lo")).otherwise(F.lit(0)).cast("long")
+    return per_file.select("fid", least.alias("least"), F.coalesce("hi", F.lit(0)).cast("long").alias("most"), F.greatest("chunk_count", "listed").alias("chunks"))
 
 
 @query("""SELECT fid, unnest(range(0, size, 67108864)) AS "offset" FROM files WHERE size > 0""")
