@@ -106,3 +106,9 @@ def test_worm_reads_no_chunks(plan):
 def test_copies_are_counted_within_files(plan):
     keys = exchanges(plan("replication_minmax"))
     assert keys and all(k.startswith("fid#") for k in keys)
+
+
+def test_inventories_meet_once(plan):
+    """By server and chunk, and never by server alone."""
+    keys = exchanges(plan("inventory_diff"))
+    assert sum("server_id" in k for k in keys) == 3 and all("chunk_id" in k for k in keys if "server_id" in k)

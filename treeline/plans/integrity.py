@@ -93,11 +93,14 @@ WHERE NOT (server_id % 3 = 1 AND chunk_id % 53 = 0) UNION ALL SELECT server_id,
 SELECT server_id, chunk_id, CASE WHEN r.version IS NULL THEN 'missing' WHEN e.version IS NULL THEN 'unknown' ELSE 'version' END AS problem
 FROM e FULL JOIN r USING (server_id, chunk_id) WHERE r.version IS NULL OR e.version IS NULL OR r.version <> e.version""")
 def inventory_diff(x: Lens):
-    e = x.replicas.select("server_id", "chunk_id", "version").distinct()
+    e = x.replicas.select("server_id", "chunk_id", "version").repartition(x.parts, "server_id", "chunk_id").distinct()
     version = F.when((F.col("chunk_id") % 101 == 0) & (F.col("server_id") % 3 == 0), F.col("version") + 1).otherwise(F.col("version"))
-    told = e.filter("NOT (server_id % 3 = 1 AND chunk_id % 53 = 0)").select("server_id", "chunk_id", version.alias("version"))
-    extra = e.filter("server_id % 3 = 1 AND chunk_id % 977 = 0").select("server_id", (-F.col("chunk_id")).alias("chunk_id"), "version")
-    return ok.inventory_diff(e, told.union(extra))
+    row = lambda keep, *cols: F.when(F.expr(keep), F.struct(*[c.cast("long").alias(k) for c, k in zip(cols, ("server_id", "chunk_id", "version"), strict=True)]))
+    told = row("NOT (server_id % 3 = 1 AND chunk_id % 53 = 0)", F.col("server_id"), F.col("chunk_id"), version)
+    extra = row("server_id % 3 = 1 AND chunk_id % 977 = 0", F.col("server_id"), -F.col("chunk_id"), F.col("version"))
+    # Both reports of a copy at once, so that what is expected is computed and dealt once.
+    r = e.select(F.explode(F.filter(F.array(told, extra), lambda t: t.isNotNull())).alias("t")).select("t.*")
+    return ok.inventory_diff(e, r.repartition(x.parts, "server_id", "chunk_id"))
 
 
 @query(""", w AS (SELECT fid, unnest(range(0, (size - 1) // 67108864 + 1)) AS block FROM files WHERE size > 0)
