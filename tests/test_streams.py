@@ -38,3 +38,23 @@ def test_a_batch_that_comes_again_is_there_once(spark, tmp_path):
     sink(df, 0)
     sink(df, 1)
     assert spark.read.parquet(f"file://{tmp_path}/out").agg(F.count("*")).first()[0] == 6
+
+
+def test_commit_queue_holds_no_log_in_a_worker(spark, tmp_path):
+    """Entries of two logs over four batches, some waiting for more than one, in order and each once; no Python runs."""
+    schema = "log long, kind string, seq long, op string, fid long, arg long, us long"
+    a = lambda n, seq: (n, "a", seq, f"o{seq}", 1, 0, 0)
+    c = lambda n, seq: (n, "c", seq, None, None, None, None)
+    stream = rows_of(spark, tmp_path, schema, [[a(1, 3), a(1, 1), a(2, 5)], [a(1, 2), a(2, 4)], [c(1, 2), c(1, 1)], [c(2, 9), a(1, 4), a(2, 8)]])
+    got, plans = [], []
+
+    def sink(df, batch):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        got.append([(r.log, r.seq, r.op) for r in df.collect()])
+
+    log.run_to_end(log.commit_queue(stream), f"file://{tmp_path}/state", foreach=sink)
+    assert got == [[], [], [(1, 1, "o1"), (1, 2, "o2")], [(2, 4, "o4"), (2, 5, "o5"), (2, 8, "o8")]]
+    assert plans and not any("Python" in p or "InPandas" in p for p in plans)
+    left = spark.read.parquet(f"file://{tmp_path}/state/queue/waiting-3")
+    assert sorted(r.seq for r in left.collect()) == [3, 4]
+    assert not (tmp_path / "state/queue/waiting-1").exists()

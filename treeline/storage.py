@@ -32,6 +32,11 @@ def size_of(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def parts_for(spark: SparkSession, size: int, part: int = 4 << 20) -> int:
     """Partitions of an exchange of ``size`` bytes of Parquet: the session's number, or more where one would be over ``part``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part))

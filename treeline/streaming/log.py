@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..constants import DEDUP_S
+from ..storage import remove, small
 
 
 def hourly(ops: DataFrame) -> DataFrame:
@@ -23,30 +20,45 @@ def dedup(requests: DataFrame, seconds: int = DEDUP_S) -> DataFrame:
     return at.dropDuplicatesWithinWatermark(["uid", "rid"]).drop("at")
 
 
-def commit_queue(entries: DataFrame) -> DataFrame:
-    """(log, seq, op, fid, arg, us) of entries (log, kind, seq, ...), each when a commit at or above it has come.
+class CommitQueue:
+    """Entries (log, kind, seq, op, fid, arg, us) of a stream that wait for a commit at or above them in their log.
 
-    A log's entries are applied in one order, so each log is one key; shards of a
-    store with logs of their own run side by side.  State: what waits for a commit.
+    Between batches the last commit of each log and the entries that wait are tables in the checkpoint folder, each
+    with its batch's number: a batch that comes again starts from those of the batch before it.  Nothing holds a log.
     """
-    schema = "log long, seq long, op string, fid long, arg long, us long"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        waiting = [tuple(w) for w in waiting]
-        top = state.get[1] if state.exists else -1
-        for pdf in batches:
-            for r in pdf.itertuples():
-                if r.kind == "c":
-                    top = max(top, int(r.seq))
-                else:
-                    waiting.append((int(r.seq), r.op, int(r.fid), int(r.arg), int(r.us)))
-        done = sorted(w for w in waiting if w[0] <= top)
-        state.update(([w for w in waiting if w[0] > top], top))
-        yield pd.DataFrame([(key[0], *w) for w in done], columns=["log", "seq", "op", "fid", "arg", "us"])
-
-    state = "waiting array<struct<seq:long,op:string,fid:long,arg:long,us:long>>, top long"
-    return entries.groupBy("log").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+    columns = ("log", "seq", "op", "fid", "arg", "us")
+
+    def __init__(self, entries: DataFrame):
+        self.entries = entries
+
+    def sink(self, folder: str, foreach):
+        """For ``foreachBatch``: ``foreach`` gets what a batch releases, in the order of log and number."""
+
+        def run(df: DataFrame, batch: int) -> None:
+            spark = df.sparkSession
+            at = lambda name, n: f"{folder}/{name}-{n}"
+            tops = df.filter("kind = 'c'").groupBy("log").agg(F.max("seq").alias("top"))
+            rows = df.filter("NOT kind <=> 'c'").select(*self.columns)
+            if batch > 0:
+                tops = tops.union(spark.read.parquet(at("tops", batch - 1))).groupBy("log").agg(F.max("top").alias("top"))
+                rows = rows.union(spark.read.parquet(at("waiting", batch - 1)))
+            tops.write.mode("overwrite").parquet(at("tops", batch))
+            tops = spark.read.parquet(at("tops", batch)).select(F.col("log").alias("of"), "top")
+            rows = rows.join(small(tops), F.col("log").eqNullSafe(F.col("of")), "left").withColumn("done", F.col("seq") <= F.coalesce("top", F.lit(-1)))
+            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows._jdf.rdd().getNumPartitions())
+            done = rows.filter("done").select(*self.columns)
+            foreach(done.repartitionByRange(n, "log", "seq").sortWithinPartitions("log", "seq"), batch)
+            rows.filter("NOT done").select(*self.columns).write.mode("overwrite").parquet(at("waiting", batch))
+            for name in ("tops", "waiting"):
+                remove(spark, at(name, batch - 2))
+
+        return run
+
+
+def commit_queue(entries: DataFrame) -> CommitQueue:
+    """(log, seq, op, fid, arg, us) of entries (log, kind, seq, ...), each when a commit at or above it has come; for ``run_to_end``."""
+    return CommitQueue(entries)
 
 
 def append_sink(path: str):
@@ -58,7 +70,10 @@ def append_sink(path: str):
     return write
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", **sink) -> None:
+def run_to_end(stream: DataFrame | CommitQueue, checkpoint: str, mode: str = "append", **sink) -> None:
     """Process what is there and stop; ``sink``: foreach=function of (table, batch)."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink["foreach"]).trigger(availableNow=True).start()
+    foreach = sink["foreach"]
+    if isinstance(stream, CommitQueue):
+        stream, foreach = stream.entries, stream.sink(f"{checkpoint}/queue", foreach)
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(foreach).trigger(availableNow=True).start()
     q.awaitTermination()
