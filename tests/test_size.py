@@ -112,3 +112,19 @@ def test_inventories_meet_once(plan):
     """By server and chunk, and never by server alone."""
     keys = exchanges(plan("inventory_diff"))
     assert sum("server_id" in k for k in keys) == 3 and all("chunk_id" in k for k in keys if "server_id" in k)
+
+
+def test_texts_go_to_python_in_short_batches(spark):
+    """Also through the scrubber, whose files are longer than their texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for name in ("scrub", "escape_round_trip", "inflate_text"):
+            spark.conf.set(key, "10000")
+            catalog.QUERIES[name](spark, SF)
+            assert int(spark.conf.get(key)) <= 128
+            spark.conf.set(key, "20")
+            catalog.QUERIES[name](spark, SF)
+            assert spark.conf.get(key) == "20"
+    finally:
+        spark.conf.set(key, before)

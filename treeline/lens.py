@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .constants import CHUNK
-from .storage import parts_for, size_of
+from .storage import parts_for, size_of, small_batches
 
 
 def micros(column: str):
@@ -122,9 +122,15 @@ class Lens:
         e = self.table("events").withColumn("us", micros("ts")).join(F.broadcast(n))
         return e.selectExpr("event_id AS seq", "us", "user_id AS uid", f"{kind} AS op", "1000000000L + event_id % n_files AS fid", "cast(round(value * 100) AS bigint) AS arg", "event_id % 11 <> 0 AS committed")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Texts, which mostly go to Python: a batch of them must fit a worker, however long they are."""
+        small_batches(self.spark)
+        return self.table("documents")
+
     @cached_property
     def file_bytes(self) -> DataFrame:
-        return self.table("documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+        return self.documents.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
 _DIR = {"num_replicas": 0, "num_stripes": 0, "num_recovery": 0, "stripe_size": 0, "uid": 0, "gid": 0, "mode": 493, "min_tier": 15, "max_tier": 15, "mtime": 0, "size": 0, "chunk_count": 0}

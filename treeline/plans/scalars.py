@@ -132,7 +132,7 @@ def object_key(x: Lens):
 FROM documents WHERE text IS NOT NULL""", tables=False)
 def escape_round_trip(x: Lens):
     hidden = cs.escape("text")
-    return x.table("documents").filter("text IS NOT NULL").select("doc_id", cs.unescape(hidden).alias("back"), hidden.alias("escaped"))
+    return x.documents.filter("text IS NOT NULL").select("doc_id", cs.unescape(hidden).alias("back"), hidden.alias("escaped"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND coalesce(text, '') <> '' THEN 'checksum mismatch in block 0' ELSE 'ok' END AS result FROM documents", tables=False)

@@ -49,3 +49,16 @@ SMALL_ROWS = 500_000
 def small(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if its rows, which are counted, are few."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+#: Rows and bytes of texts or files that a Python worker gets at once.
+TEXT_ROWS, TEXT_BYTES = 128, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the length of Arrow batches for this session if it is over ``TEXT_ROWS`` or ``TEXT_BYTES``; plans read it when they run."""
+    conf = spark._jsparkSession.sessionState().conf()
+    if not 0 < conf.arrowMaxRecordsPerBatch() <= TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    if not 0 < conf.arrowMaxBytesPerBatch() <= TEXT_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
